@@ -1,0 +1,87 @@
+import hashlib
+import random
+import re
+
+from vecgrove.llm.pii import find_pii
+
+RE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(d):
+    total = 0
+    for k, c in enumerate(reversed(d)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def ok(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 14 <= len(d) <= 19 and luhn(d)
+    return kind == "email" or 10 <= len(d) <= 15
+
+
+def brute(text):
+    found = []
+    for no, (kind, r) in enumerate(RE.items()):
+        found += [(m.start(), no, f"{kind}:{m.start()}:{m.end()}", kind) for m in r.finditer(text or "") if ok(kind, m.group())]
+    found.sort()
+    base = ",".join(x[2] for x in found)
+    return [sum(x[3] == k for x in found) for k in RE], hashlib.sha256(base.encode()).hexdigest(), [x[2] for x in found]
+
+
+def check(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["id"]: r for r in find_pii(df).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        n, sha, base = brute(t)
+        r = rows[i]
+        assert [r[f"n_{k}"] for k in RE] == n, (t[:200] if t else t, base, r["spans"])
+        assert r["base_sha256"] == sha, (t[:200], base, r["spans"])
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert [s for s in spans if s.split(":")[0] in RE] == base
+
+
+def test_base_spans_match_plain_expressions(spark):
+    rng = random.Random(5)
+    alphabet = "ab1290@@..+-- ()éx\n5552"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    digits = "0123456789-  "
+    texts += ["".join(rng.choice(digits) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "30569309025904", "6011000990139424", "4111111111111112"]
+    texts += [rng.choice(["", "é ", "9 ", "1-", "a"]) + c + rng.choice(["", " 5", "--7", "."]) for c in cards for _ in range(8)]
+    texts += ["a@b.c+d@e.f", "a@b..c", "a@b.c.", "x@y.z@w.v", "é@b.cé", "𝒳 a@b.cd 1.2.3.4", "256.1.1.1", "0001.2.3.255", "1.2.3.4.5.6.7.8.9", "+1 (017) 555-7713", "+1234", "+(12", None, ""]
+    check(spark, texts)
+
+
+def test_very_long_runs(spark):
+    check(spark, ["a" * 8_000, "a." * 4_000 + "@" + "b." * 100_000 + "c", "1" * 8_000, "1 " * 100_000, "1." * 4_000, "+" + "1" * 100_000, "a@b.c " * 500])
+
+
+def test_tables(spark, sf_rows):
+    check(spark, [t for _, t, _ in sf_rows])
+
+
+def test_added_kinds(spark):
+    texts = [
+        "IBAN DE89 3704 0044 0532 0130 00 please", "GB82WEST12345698765432", "GB82WEST12345698765433",  # the last fails mod 97
+        "call 555-123-4567", "item 555-123-4567", "ssn 078-05-1120", "part 078-05-1120",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["id"]: r["spans"] for r in find_pii(df).collect()}
+    assert got == {0: "iban:5:32", 1: "iban:0:22", 2: "", 3: "tel:5:17", 4: "", 5: "ssn:4:15", 6: ""}
+
+
+def test_edges(edge_docs, edge_rows, empty_docs):
+    got = sorted(((r["id"], r["base_sha256"]) for r in find_pii(edge_docs).collect()), key=repr)
+    assert got == sorted(((i, brute(t)[1]) for i, t, *_ in edge_rows), key=repr)
+    assert find_pii(empty_docs).count() == 0
