@@ -1,7 +1,8 @@
 """Quality classifier from weak labels.
 
-Eight overlapping heuristic labellers vote good, poor or abstain on each whole text.
-Expectation-maximisation over the counts of vote patterns (at most 3^8 of them, counted over all
+Eight overlapping heuristic labellers vote good, poor or abstain on each whole text, or nothing where
+it is too short for them.
+Expectation-maximisation over the counts of vote patterns (at most 4^8 of them, counted over all
 documents) estimates how each labeller votes on good and on poor documents, and so the posterior of
 each pattern. A hashed linear scorer is then trained on posteriors as soft labels, from at most
 ``max_train`` documents picked by hash of the id (a documented bound), and scores every document from
@@ -9,12 +10,13 @@ features the labellers do not use directly: shares of word shapes and of shape p
 
 Texts are read once: votes and hashed features go to a compact table in the shared folder.
 
-Defined results: null or empty text has no words; the length labeller votes poor and the others
+Defined results: null or empty text has no words; the first labeller votes poor and the others
 abstain. Repeated rows get the same result. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from vecgrove.llm.common import stored, table
 
-GOOD, POOR, ABSTAIN = "+", "-", "0"
+#: MISSING: the text is too short for the labeller to tell; it then says nothing, unlike an abstention.
+GOOD, POOR, ABSTAIN, MISSING = "+", "-", "0", "?"
 BITS = 16
 KEEP = 0.5
 _SHAPE = bytes(
@@ -36,27 +39,45 @@ _SYMBOLS = b"#*$%&|<>"
 _OTHER = bytes(set(range(256)) - set(_SYMBOLS))
 
 
-def _vote(x: float, good_upto: float, poor_from: float) -> str:
-    return GOOD if x <= good_upto else POOR if x >= poor_from else ABSTAIN
+#: Shapes of a plain word, runs of a character cut to two.
+_PLAIN = re.compile(rb"[(\"']?(?:X?x{1,2}|X|0{1,2})(?:['-]X?x{1,2})*[.,;:?!)\"']{0,2}")
 
 
 def votes(text: bytes, words: list[bytes], shapes: list[bytes]) -> str:
-    """One sign per labeller: length, symbols, stutter, variety, capitals, exclamation, stops, lines."""
+    """One sign per labeller.
+
+    Plain words, symbols, stutter, variety of words, capitals, exclamation, stops, variety of word
+    pairs. Those that look for one kind of junk only (symbols, stutter, capitals, exclamation) never
+    vote good.
+    """
     n = len(words)
-    out = [GOOD if n >= 60 else POOR if n < 25 else ABSTAIN]
     if not n:
-        return out[0] + ABSTAIN * 7
-    out.append(_vote(len(text.translate(None, _OTHER)) / n, 0.03, 0.2))
-    out.append(_vote(sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 0.03, 0.3))
-    some = words if n <= 2000 else words[:: n // 1000]
-    out.append(ABSTAIN if n < 40 else GOOD if len(set(some)) / len(some) >= 0.4 else POOR if len(set(some)) / len(some) < 0.2 else ABSTAIN)
-    out.append(_vote(sum(s[:2] == b"XX" or s == b"X!!" for s in shapes) / n, 0.08, 0.5))
-    out.append(_vote(text.count(b"!!") / n, 0.02, 0.2))
-    stops = sum(w[-1:] in (b".", b",", b";") for w in words) / n
-    out.append(GOOD if 0.03 <= stops <= 0.4 else POOR if n >= 25 and stops < 0.01 else ABSTAIN)
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    out.append(ABSTAIN if len(lines) < 3 else _vote(1 - len(set(lines)) / len(lines), 0.1, 0.4))
-    return "".join(out)
+        return POOR + ABSTAIN * 7
+    kinds = Counter(shapes)
+
+    def high(x: float, good_from: float, poor_upto: float) -> str:
+        return GOOD if x >= good_from else POOR if x <= poor_upto else ABSTAIN
+
+    def junk(x: float, poor_from: float) -> str:
+        return POOR if x >= poor_from else ABSTAIN
+
+    step = 1 + n // 2000  # variety falls with length: long texts are judged on windows of about 2000 words
+    windows = [words[i * n // step : (i + 1) * n // step] for i in range(step)]
+    some = sum(len(set(w)) / len(w) for w in windows) / step
+    pairs = sum(len(set(zip(w, w[1:], strict=False))) / max(1, len(w) - 1) for w in windows) / step
+    stops = sum(c for s, c in kinds.items() if s[-1:] in (b".", b",", b";")) / n
+    return "".join(
+        (
+            high(sum(c for s, c in kinds.items() if _PLAIN.fullmatch(s)) / n, 0.85, 0.6),
+            junk(len(text.translate(None, _OTHER)) / n, 0.2),
+            junk(sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 0.3),
+            high(some, 0.4, 0.2) if n >= 40 else MISSING,
+            junk(sum(c for s, c in kinds.items() if s[:2] == b"XX") / n, 0.4),
+            junk(text.count(b"!!") / n, 0.2),
+            GOOD if 0.03 <= stops <= 0.4 else MISSING if n < 25 else POOR if stops < 0.01 else ABSTAIN,
+            high(pairs, 0.75, 0.4) if n >= 25 else MISSING,
+        )
+    )
 
 
 def _squeeze(shape: bytes, known: dict[bytes, bytes]) -> bytes:
@@ -110,10 +131,10 @@ def em(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np
     names = sorted(patterns)
     if not names:
         return {}, np.zeros((0, 2, 3))
-    v = np.array([["+-0".index(c) for c in p] for p in names])
+    v = np.array([["+-0?".index(c) for c in p] for p in names])
     n = np.array([patterns[p] for p in names], float)
-    # start from the majority of the votes cast
-    lead = (v == 0).sum(1) - (v == 1).sum(1)
+    # start from the votes cast; a labeller that finds junk counts twice
+    lead = (v == 0).sum(1) - 2 * (v == 1).sum(1)
     good = 1 / (1 + np.exp(-lead.astype(float)))
     rates = np.zeros((v.shape[1], 2, 3))
     for _ in range(rounds):
@@ -121,10 +142,11 @@ def em(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np
         prior = share.sum(1) / n.sum()
         for j in range(v.shape[1]):
             for y in range(2):
-                rates[j, y] = np.bincount(v[:, j], share[y], 3) + 0.5
+                rates[j, y] = np.bincount(v[:, j], share[y], 4)[:3] + 0.5
         rates /= rates.sum(2, keepdims=True)
-        # a labeller is better than chance: its good votes lean to good documents
-        log = np.log(np.clip(prior, 1e-6, None))[:, None] + sum(np.log(rates[j][:, v[:, j]]) for j in range(v.shape[1]))
+        log = np.log(np.clip(prior, 1e-6, None))[:, None] + sum(
+            np.hstack([np.log(rates[j]), np.zeros((2, 1))])[:, v[:, j]] for j in range(v.shape[1])
+        )
         good = 1 / (1 + np.exp(np.clip(log[1] - log[0], -35, 35)))
     return dict(zip(names, good.tolist(), strict=True)), rates
 
