@@ -165,13 +165,11 @@ def train_crf(samples: list[tuple[np.ndarray, int]], epochs: int = 6, rate: floa
     good = sum(y for _, y in samples)
     if not samples or good in (0, len(samples)):
         return w, step
-    # documents of either label weigh the same in total
-    weigh = {1: len(samples) / (2 * good), 0: len(samples) / (2 * (len(samples) - good))}
     for epoch in range(epochs):
         r = rate / (1 + epoch)
         for x, y in samples:
             own, pair = gradient(w[x].sum(1), step, np.full(len(x), y))
-            k = r * weigh[y] / len(x)
+            k = r / len(x)
             np.add.at(w, x.ravel(), np.repeat(k * own, x.shape[1], axis=0))
             step += k * pair
             w *= 1 - r * l2
