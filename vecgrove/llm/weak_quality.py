@@ -75,7 +75,7 @@ def votes(text: bytes, words: list[bytes], shapes: list[bytes]) -> str:
             junk(sum(c for s, c in kinds.items() if s[:2] == b"XX") / n, 0.4),
             junk(text.count(b"!!") / n, 0.2),
             GOOD if 0.03 <= stops <= 0.4 else MISSING if n < 25 else POOR if stops < 0.01 else ABSTAIN,
-            high(pairs, 0.75, 0.4) if n >= 25 else MISSING,
+            high(pairs, 0.75, 0.25) if n >= 25 else MISSING,
         )
     )
 
