@@ -1,4 +1,6 @@
 """Queries of the engine and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from vecgrove.plans.queries import QUERIES
+from vecgrove.plans.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
