@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -26,19 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import stored, table
+from vecgrove.llm.common import lower_bytes, stored, table
 
 CAPACITY = 2048
 END_ID = 1
 #: Pieces per shard.
 SHARD = 4096
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-_CACHE_WORDS, _CACHE_LENGTH = 1 << 20, 64
+_CACHE_WORDS, _CACHE_LENGTH = 1_500_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: Parts the new words of a text that go to the tokenizer at once; a special token never joins with a word.
+_PART = "<|startoftext|>"
+
+
 class Ids:
-    """Token ids of a text as little-endian unsigned 32-bit bytes."""
+    """Token ids of a text as little-endian unsigned 32-bit bytes.
+
+    Ids are looked up by word. The tokenizer lower-cases, so A-Z are lowered first - not where a text has
+    combining marks (which compose with letters of one case only) or may have special tokens. A comma or
+    stop after a letter is a token of its own.
+    """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,24 +58,67 @@ class Ids:
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.part = self.tokenizer.token_to_id(_PART)
+        self.stops = {c: self._encode(c.encode()) for c in ",."}
+        self.stops = {ord(c): v for c, v in self.stops.items()}
+
+    def _encode(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, stops, after = self.known, self.stops, []
+        plain = set()
+        for w in new:
+            if w[-1] in stops and len(w) > 1 and 97 <= w[-2] <= 122:
+                after.append(w)
+                w = w[:-1]
+                if w in known:
+                    continue
+            plain.add(w)
+        words = [w for w in plain if b"<|" not in w] if self.part is not None else []
+        for w in plain.difference(words):
+            known[w] = self._encode(w)
+        if words:
+            text = f" {_PART} ".join([w.decode() for w in words])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.part)
+            if len(cuts) != len(words) - 1:
+                raise AssertionError("words and ids do not match")
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(words, [*(4 * cuts).tolist(), len(raw)], strict=True):
+                known[w] = raw[start:stop]
+                start = stop + 4
+        for w in after:
+            known[w] = known[w[:-1]] + stops[w[-1]]
 
     def __call__(self, text: bytes | None, end_id: int | None = END_ID) -> bytes:
-        known, words = self.known, (text or b"").split()
-        new = [w for w in set(words) if w not in known]
+        text, known = text or b"", self.known
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = lower_bytes(text)
+        words = text.split()
+        new = set(words).difference(known)
         if new:
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in made), strict=True))
+            if len(known) > _CACHE_WORDS:  # frequent words came first: the later half goes
+                for w in list(known)[_CACHE_WORDS // 2 :]:
+                    del known[w]
+                new = set(words).difference(known)
+            self._learn(new)
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > _CACHE_LENGTH:
                 del known[w]
+                known.pop(w[:-1], None)
         return out if end_id is None else out + int(end_id).to_bytes(4, "little")
 
 
+@cache
+def ids_of(path: str | None) -> Ids:
+    """One per worker, so that what it remembers outlives a task."""
+    return Ids(path)
+
+
 class Capacities:
     """Segment tree over remaining capacities 0..size-1: how many open sequences have each."""
 
@@ -128,11 +181,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     schema = _PIECE + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(tokenizer)
+        tokens_of = ids_of(tokenizer)
         for b in batches:
             rows: list[list] = [[] for _ in schema.split(",")]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = ids_of(text.as_py())
+                ids = tokens_of(text.as_py())
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
