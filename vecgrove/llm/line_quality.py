@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import table
+from vecgrove.llm.common import hash_sample, table
 
 MIN_WORDS, MAX_REPEAT, MIN_CONTENT = 50, 0.5, 0.5
 MAX_TRAIN_LINES = 400
@@ -182,9 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where("id IS NOT NULL AND label IS NOT NULL")
         .groupBy("id")
         .agg((F.min("label") > 0).cast("int").alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_train)
     )
+    picked = hash_sample(picked, "id", max_train)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text")).join(F.broadcast(picked), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import lower_bytes, stored, table
+from vecgrove.llm.common import hash_sample, lower_bytes, stored, table
 
 #: Distinct fingerprints that steer masks and blocks; the result does not depend on it.
 SAMPLE = 16_384
@@ -229,7 +229,7 @@ def _signed(x: int) -> int:
 def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct(fp)`` within ``max_bits``."""
     n = distinct.count()
-    rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
+    rows = hash_sample(distinct, "fp", SAMPLE).select("fp").collect()
     sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
     masks = masks_for(sample, max_bits, n)
     held = np.array(masks, np.uint64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import fold, table
+from vecgrove.llm.common import fold, hash_sample, table
 
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -123,9 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where(fold(F.col("id")) != HELD_OUT)
         .groupBy("id")
         .agg((F.max("label") > 0).cast("int").alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_train)
     )
+    picked = hash_sample(picked, "id", max_train)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(picked), "id").select("id", "text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import stored, table
+from vecgrove.llm.common import hash_sample, stored, table
 
 #: MISSING: the text is too short for the labeller to tell; it then says nothing, unlike an abstention.
 GOOD, POOR, ABSTAIN, MISSING = "+", "-", "0", "?"
@@ -170,7 +170,7 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = stored(_described(docs, id_col, text_col), "weak-votes")
     counts = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior, _ = em(counts)
-    sample = seen.orderBy(F.xxhash64("id"), "id").limit(max_train).select("votes", "x").collect()
+    sample = hash_sample(seen, "id", max_train).select("votes", "x").collect()
     rows = sorted({(bytes(r["x"]), posterior[r["votes"]]) for r in sample}, key=lambda r: (crc32(r[0]), r))
     w = train_scorer([(np.frombuffer(x, "<u2").astype(np.int64), y) for x, y in rows])
     sent = spark.sparkContext.broadcast((w.astype(np.float32), posterior))
