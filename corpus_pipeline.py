@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import like, stored, table
+from vecgrove.llm.common import like, sendable, stored, table
 from vecgrove.llm.exact_dedup import exact_dedup
 from vecgrove.llm.mixing import mix
 from vecgrove.llm.packing import pack
@@ -57,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     mixed = mix(docs).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
     mixed = stored(mixed, "stage-mix").toDF("_vg_key", "_vg_copies")
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_vg_key"]))
+    joined = docs.join(sendable(mixed), docs["doc_id"].eqNullSafe(F.col("_vg_key")))
     return joined.withColumn("_vg_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_vg_copies"))).drop("_vg_key", "_vg_copies", "_vg_copy")
 
 

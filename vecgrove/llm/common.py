@@ -46,10 +46,19 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
+#: Rows of at most this many ids are sent to all executors; larger sets are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sendable(small: DataFrame) -> DataFrame:
+    """A table of ids (and a number), marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+
+
 def like(docs: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with ids in the one column of ``keys``; columns of ``docs`` stay as they are."""
-    other = keys.toDF("_vg_key")
-    return docs.join(other, docs[key].eqNullSafe(other["_vg_key"]), how)
+    other = sendable(keys.toDF("_vg_key"))
+    return docs.join(other, docs[key].eqNullSafe(F.col("_vg_key")), how)
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
