@@ -47,7 +47,7 @@ def fold(doc_id: Column) -> Column:
 
 
 #: Rows of at most this many ids are sent to all executors; larger sets are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 def sendable(small: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ END_ID = 1
 #: Pieces per shard.
 SHARD = 4096
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-_CACHE_WORDS, _CACHE_LENGTH = 1_500_000, 64
+_CACHE_WORDS, _CACHE_LENGTH = 600_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 

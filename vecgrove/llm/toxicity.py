@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 #: Words whose hash a worker remembers.
-_CACHE_WORDS = 1 << 20
+_CACHE_WORDS = 200_000
 
 
 class Hasher:
