@@ -65,7 +65,7 @@ def test_image_descriptors(spark, tmp_path):
 def test_result_files(spark, tmp_path):
     knn = spark.createDataFrame([(3, 1, 8, 4), (3, 2, 9, 5), (12345, 1, 1, 1)], "qid bigint, rank int, id bigint, dist bigint")
     assert results.write_knn_files(knn, str(tmp_path / "k")) == 2
-    assert (tmp_path / "k" / "003.ecp").read_text() == "3\n\n0 8 4\n1 9 5\n" and (tmp_path / "k" / "12345.ecp").exists()
+    assert (tmp_path / "k" / "003.knn").read_text() == "3\n\n0 8 4\n1 9 5\n" and (tmp_path / "k" / "12345.knn").exists()
     results.write_knn_text(knn, str(tmp_path / "t"))
     hubs = spark.createDataFrame([(1, 2, 3)], "id bigint, hubness bigint, max_dist bigint")
     results.write_hubness_csv(hubs, str(tmp_path / "h"))

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from vecgrove.operators.topk import as_text
 
 
-def write_knn_files(knn: DataFrame, folder: str) -> int:
-    """One ``<qid>.ecp`` per query, with its text block; ids have three digits at least."""
+def write_knn_files(knn: DataFrame, folder: str, suffix: str = ".knn") -> int:
+    """One file ``<qid><suffix>`` per query, with its text block; ids have three digits at least."""
     Path(folder).mkdir(parents=True, exist_ok=True)
     n = 0
     for n, r in enumerate(as_text(knn).toLocalIterator(), 1):
-        Path(folder, f"{r['qid']:03d}.ecp").write_text(r["body"] + "\n")
+        Path(folder, f"{r['qid']:03d}{suffix}").write_text(r["body"] + "\n")
     return n
 
 
