@@ -20,7 +20,7 @@ import pyarrow.parquet as pq
 from vecgrove.llm.toxicity import HELD_OUT, THRESHOLD, Hasher, train_ftrl
 
 BITS = 22
-GRID = [dict(alpha=a, l1=l, l2=r, epochs=4) for a, l, r in product((0.3, 1.0, 2.0, 4.0), (4.0, 6.0, 9.0, 13.0, 18.0), (0.5, 2.0))]
+GRID = [dict(alpha=a, l1=l, l2=r, epochs=4) for a, l, r in product((0.3, 1.0, 2.0, 4.0, 8.0, 16.0), (4.0, 6.0, 9.0, 13.0, 18.0), (0.5, 2.0))]
 FOLDS = [f for f in range(4) if f != HELD_OUT]
 
 Row = tuple[int, np.ndarray, int]
