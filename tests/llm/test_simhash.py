@@ -77,6 +77,16 @@ def test_hot_values_are_cut_into_blocks(spark, monkeypatch):
     assert [got.get(int(x), int(x)) for x in order.view(np.int64)] == want
 
 
+def test_every_hot_value_is_found(spark, monkeypatch):
+    """Also one far too rare for a sample; the counted blocks cover it."""
+    import vecgrove.llm.simhash as m
+
+    monkeypatch.setattr(m, "BLOCK", 5)
+    rows = [(0, 7, i) for i in range(11)] + [(1, 7, i) for i in range(5)] + [(1, i, i) for i in range(5000)]
+    hot = m.hot_values(spark.createDataFrame(rows, "slot int, key bigint, fp bigint")).collect()
+    assert [tuple(r) for r in hot] == [(0, 7, 3), (1, 7, 2)]
+
+
 def test_chain_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in components(df).collect()}

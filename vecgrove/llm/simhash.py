@@ -9,9 +9,10 @@ and rows that agree under a mask are compared (popcount) and verified. The resul
 sample only steers cost.
 
 Distribution: documents collapse to distinct fingerprints first. Under each mask, fingerprints are
-dealt by (mask, masked value); values that the sample shows to be hot are cut into blocks and each
-pair of blocks is a unit of its own. A unit emits no pairs beyond a spanning set: for a run of more
-than ``SMALL_RUN`` rows, each row links to the smallest one of its component. Components come from
+dealt by (mask, masked value); all masked values are counted, hot ones are cut into blocks and each
+pair of blocks is a unit of its own, so that no unit holds much more than two blocks. A unit emits no
+pairs beyond a spanning set: for a run of more than ``SMALL_RUN`` rows, each row links to the smallest
+one of its component. Components come from
 label propagation with pointer jumping over the links only; every round is a written table.
 
 Defined results: null or empty text has the fingerprint 0, linked like any other. Repeated rows are
@@ -29,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import hash_sample, lower_bytes, stored, table
+from vecgrove.llm.common import hash_sample, lower_bytes, sendable, stored, table
 
-#: Distinct fingerprints that steer masks and blocks; the result does not depend on it.
+#: Distinct fingerprints that steer masks; the result does not depend on it.
 SAMPLE = 16_384
 #: Fingerprints of a hot masked value per block.
 BLOCK = 8192
@@ -226,6 +227,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def hot_values(dealt: DataFrame) -> DataFrame:
+    """slot, key, blocks of every masked value that more than ``BLOCK`` fingerprints have, by an exact count."""
+    counted = dealt.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    return stored(counted.select("slot", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot-values")
+
+
 def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct(fp)`` within ``max_bits``."""
     n = distinct.count()
@@ -233,27 +240,14 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
     masks = masks_for(sample, max_bits, n)
     held = np.array(masks, np.uint64)
-    # masked values that the sample shows with many rows: cut into blocks
-    hot = []
-    for slot, m in enumerate(masks):
-        keys, counts = np.unique(sample & np.uint64(m), return_counts=True)
-        for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
-            if c >= 16 and c * n / len(sample) > BLOCK:
-                hot.append((slot, _signed(k), int(np.ceil(c * n / len(sample) / BLOCK))))
-    spark = distinct.sparkSession
     masked = F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     dealt = distinct.select("fp", F.inline(masked))
-    if hot:  # at most SAMPLE / 16 values a mask
-        plan = F.broadcast(spark.createDataFrame(hot, "slot int, key bigint, blocks int"))
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        with_blocks = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)
-        )
-        dealt = dealt.join(plan, ["slot", "key"], "left").select(
-            "slot", "key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(with_blocks)).alias("unit"), "fp"
-        )
-    else:
-        dealt = dealt.select("slot", "key", F.lit(0).alias("unit"), "fp")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    with_blocks = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)
+    )
+    units = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(with_blocks)
+    dealt = dealt.join(sendable(hot_values(dealt)), ["slot", "key"], "left").select("slot", "key", F.explode(units).alias("unit"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3
