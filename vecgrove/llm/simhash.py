@@ -12,8 +12,8 @@ Distribution: documents collapse to distinct fingerprints first. Under each mask
 dealt by (mask, masked value); all masked values are counted, hot ones are cut into blocks and each
 pair of blocks is a unit of its own, so that no unit holds much more than two blocks. A unit emits no
 pairs beyond a spanning set: for a run of more than ``SMALL_RUN`` rows, each row links to the smallest
-one of its component. Components come from
-label propagation with pointer jumping over the links only; every round is a written table.
+one of its component. Components come from label propagation with pointer jumping over the links only;
+every round is a written table.
 
 Defined results: null or empty text has the fingerprint 0, linked like any other. Repeated rows are
 members of the same component. Empty tables give no rows. Other columns are ignored.
