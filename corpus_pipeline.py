@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import like, sendable, stored, table
+from vecgrove.llm.common import like, row_hash, sendable, stored, table, without_rows
 from vecgrove.llm.exact_dedup import exact_dedup
 from vecgrove.llm.mixing import mix
+from vecgrove.llm.near_copies import near_copies
 from vecgrove.llm.packing import pack
 from vecgrove.llm.simhash import near_duplicates
 from vecgrove.llm.toxicity import toxicity
@@ -48,11 +49,32 @@ def _one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group of op9's near-duplicates (fingerprints within 4 bits) stays, that of the smallest id.
+
+    Not the pipeline's stage, which is ``drop_similar``.
+    """
     found = stored(near_duplicates(docs), "stage-near-copies")
     return _drop_ids(docs, found.where("id <> component_id").select("id"))
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group linked by a five-word similarity of 0.8 or more stays, that of the smallest id, null last."""
+    found = stored(near_copies(docs), "stage-similar")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("kept")).where("n > 1")
+    groups = stored(groups.select("component", F.col("kept.id").alias("kept_id"), F.col("kept.row").alias("kept_row")), "stage-similar-groups")
+    members = found.join(sendable(groups), "component")
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))
+    gone = stored(members.where(~same).select("id", "row"), "stage-similar-gone")
+    single = without_rows(docs, gone, row_hash(docs["text"]))
+    twice = stored(members.where(same).groupBy("id", "row").count().where("count > 1").select("id", "row"), "stage-similar-twice")
+    if not twice.limit(1).count():
+        return single
+    # the same row more than once: one of it stays
+    again = docs.join(F.broadcast(twice.toDF("_vg_key", "_vg_mark")), docs["doc_id"].eqNullSafe(F.col("_vg_key")) & (row_hash(docs["text"]) == F.col("_vg_mark")), "left_semi")
+    return without_rows(single, twice, row_hash(single["text"])).unionByName(again.dropDuplicates(["doc_id", "text"]))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     mixed = mix(docs).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
@@ -69,7 +91,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("simhash_near_dedup", drop_near_copies),
+    ("simhash_near_dedup", drop_similar),
     ("mix", mix_sources),
     ("packing", pack_tokens),
 ]

@@ -61,6 +61,17 @@ def like(docs: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     return docs.join(other, docs[key].eqNullSafe(F.col("_vg_key")), how)
 
 
+def row_hash(text: Column) -> Column:
+    """With the id, tells rows apart: ids may be null or repeated."""
+    return F.xxhash64(text)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, mark: Column, key: str = "doc_id") -> DataFrame:
+    """Anti join of ``docs`` with ``rows(id, mark)``; ``mark`` is the second column's value of a row of ``docs``."""
+    other = sendable(rows.distinct().toDF("_vg_key", "_vg_mark"))
+    return docs.join(other, docs[key].eqNullSafe(F.col("_vg_key")) & (mark == F.col("_vg_mark")), "left_anti")
+
+
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of ``df`` with the smallest hash of ``key``; all of them where there are no more.
 
