@@ -106,3 +106,10 @@ def test_shards_and_ids(sf_docs, sf_rows, tokenizer, monkeypatch):
     again = pack(sf_docs.repartition(7)).collect()
     key = ("id", "start", "sequence_id", "offset")
     assert sorted(tuple(r[k] for k in key) for r in out) == sorted(tuple(r[k] for k in key) for r in again)
+
+
+def test_long_words_one_a_letter_longer(tokenizer):
+    for n in range(65, 95):
+        w = "q" * n
+        text = f"{w} {w}. {w}q {w}qq {w}q,"
+        assert np.frombuffer(Ids()(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]

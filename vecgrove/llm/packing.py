@@ -108,7 +108,7 @@ class Ids:
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > _CACHE_LENGTH:
-                del known[w]
+                known.pop(w, None)  # may have gone with a longer word
                 known.pop(w[:-1], None)
         return out if end_id is None else out + int(end_id).to_bytes(4, "little")
 
