@@ -2,16 +2,18 @@
 
 Each stage is a function (spark, docs, sf_dir) that returns a DataFrame. ``run`` writes what a stage
 returns as Parquet into the shared folder and reads it again as the next stage's documents. All but the
-last return the columns of documents.
+last return the columns of documents. Rows are rejected by id and text, as ids may be null or repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import like, row_hash, sendable, stored, table, without_rows
-from vecgrove.llm.exact_dedup import exact_dedup
+from vecgrove.llm.common import ascii_lower, like, row_hash, sendable, stored, table, without_rows
+from vecgrove.llm.exact_dedup import exact_dedup, sha256
 from vecgrove.llm.mixing import mix
 from vecgrove.llm.near_copies import near_copies
 from vecgrove.llm.packing import pack
@@ -28,24 +30,35 @@ def _drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of the documents at hand."""
-    judged = stored(toxicity(docs, table(spark, sf_dir, "labels")), "stage-toxicity")
-    return _drop_ids(docs, judged.where("predicted = 1").select("id"))
+    judged = stored(toxicity(docs, table(spark, sf_dir, "labels"), with_row=True), "stage-toxicity")
+    return without_rows(docs, judged.where("predicted = 1").select("id", "row"), row_hash(docs["text"]))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, that of the largest id."""
     found = stored(exact_dedup(docs), "stage-copies")
-    single = _drop_ids(docs, found.where("NOT kept").select("id"))
-    return _one_row_each(single, found.where("kept"))
+    single = without_rows(docs, found.where("NOT kept").select("id", "digest"), _text_digest(docs))
+    twice = found.where("kept").groupBy("id", "digest").count().where("count > 1").select("id", "digest")
+    return _one_row_each(single, stored(twice, "stage-copies-twice"), _text_digest)
+
+
+def _text_digest(docs: DataFrame) -> Column:
+    """As in ``exact_dedup``."""
+    return sha256(ascii_lower(docs["text"]))
 
 
-def _one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Where an id came in more than one row, the first of its rows stays."""
-    twice = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+def _text_row(docs: DataFrame) -> Column:
+    return row_hash(docs["text"])
+
+
+def _one_row_each(docs: DataFrame, twice: DataFrame, mark: Callable[[DataFrame], Column]) -> DataFrame:
+    """Of rows with the same id and mark, those in ``twice``, one stays."""
     if not twice.limit(1).count():
         return docs
-    again = like(docs, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return _drop_ids(docs, twice).unionByName(again)
+    other = sendable(twice.toDF("_vg_key", "_vg_mark"))
+    same = docs["doc_id"].eqNullSafe(F.col("_vg_key")) & (mark(docs) == F.col("_vg_mark"))
+    again = docs.join(other, same, "left_semi").withColumn("_vg_mark", mark(docs)).dropDuplicates(["doc_id", "_vg_mark"]).drop("_vg_mark")
+    return without_rows(docs, twice, mark(docs)).unionByName(again)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,21 +79,17 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     members = found.join(sendable(groups), "component")
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))
     gone = stored(members.where(~same).select("id", "row"), "stage-similar-gone")
-    single = without_rows(docs, gone, row_hash(docs["text"]))
+    single = without_rows(docs, gone, _text_row(docs))
     twice = stored(members.where(same).groupBy("id", "row").count().where("count > 1").select("id", "row"), "stage-similar-twice")
-    if not twice.limit(1).count():
-        return single
-    # the same row more than once: one of it stays
-    again = docs.join(F.broadcast(twice.toDF("_vg_key", "_vg_mark")), docs["doc_id"].eqNullSafe(F.col("_vg_key")) & (row_hash(docs["text"]) == F.col("_vg_mark")), "left_semi")
-    return without_rows(single, twice, row_hash(single["text"])).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return _one_row_each(single, twice, _text_row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mix(docs).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    mixed = stored(mixed, "stage-mix").toDF("_vg_key", "_vg_copies")
-    joined = docs.join(sendable(mixed), docs["doc_id"].eqNullSafe(F.col("_vg_key")))
-    return joined.withColumn("_vg_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_vg_copies"))).drop("_vg_key", "_vg_copies", "_vg_copy")
+    mixed = mix(docs, with_row=True).groupBy("id", "row").agg(F.max("copies").alias("copies")).where("copies > 0")
+    mixed = stored(mixed, "stage-mix").toDF("_vg_key", "_vg_row", "_vg_copies")
+    joined = docs.join(sendable(mixed), docs["doc_id"].eqNullSafe(F.col("_vg_key")) & (_text_row(docs) == F.col("_vg_row")))
+    return joined.withColumn("_vg_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_vg_copies"))).drop("_vg_key", "_vg_row", "_vg_copies", "_vg_copy")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

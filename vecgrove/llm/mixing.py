@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import WORD, stored, table
+from vecgrove.llm.common import WORD, row_hash, stored, table
 
 #: Patterns (and sources) that the flow network may have.
 MAX_PATTERNS = 10_000
@@ -119,19 +119,22 @@ def mix(
     weights: tuple[float, ...] = (1, 2, 3),
     max_repeat: int = 3,
     seed: int = 17,
+    with_row: bool = False,
 ) -> DataFrame:
     """id, size, sources (keys), source_size, target, copies, taken per document.
 
     ``source_col`` is a string, or an array of strings for overlapping sources; source_size and
     target are then those of the document's first source. Sources in code-point order get
-    ``weights``, repeating.
+    ``weights``, repeating. With ``with_row`` also row, the hash of the text.
     """
     listed = docs[source_col] if docs.schema[source_col].dataType.typeName() == "array" else F.array(docs[source_col])
+    row = ["row"] if with_row else []
     sized = stored(
         docs.select(
             docs[id_col].cast("bigint").alias("id"),
             F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
             F.array_sort(F.array_distinct(F.transform(F.coalesce(listed, F.array(F.lit(None).cast("string"))), _source_key))).alias("sources"),
+            *[row_hash(docs[text_col]).alias(x) for x in row],
         )
         .withColumn("pattern", F.array_join("sources", "\x01"))
         .withColumn("h", F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))),
@@ -178,7 +181,7 @@ def mix(
     ranked = joined.where(inside).withColumn(
         "extra", (F.col("before") + F.sum("size").over(upto) - F.col("size") / 2 <= F.col("rest")).cast("bigint")
     )
-    columns = ["id", "size", "sources", "source_size", "target", "base", "extra"]
+    columns = ["id", "size", "sources", "source_size", "target", "base", "extra", *row]
     return (
         whole.select(columns)
         .unionByName(ranked.select(columns))

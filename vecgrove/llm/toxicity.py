@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import fold, hash_sample, table
+from vecgrove.llm.common import fold, hash_sample, row_hash, table
 
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -153,10 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(bits, m["bias"], np.frombuffer(m["at"], np.int32), np.frombuffer(m["w"], np.float32))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score (0 to 1) of every document."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """id, score (0 to 1) of every document; with ``with_row`` also row, the hash of its text."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bits, model.bias, model.index, model.weight))
 
+    row = ["row"] if with_row else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         w, hashed = own.dense(), Hasher(own.bits)
@@ -166,19 +168,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 x = hashed(t.as_py())
                 x = np.unique(x[w[x] != 0])
                 out[i] = own.bias + float(w[x].sum(dtype=np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35)))), *b.columns[2:]], ["id", "score", *row])
 
-    return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id bigint, score double")
+    picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"), *[row_hash(docs[text_col]).alias(x) for x in row])
+    return picked.mapInArrow(run, "id bigint, score double" + (", row bigint" if with_row else ""))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, held_out, score, predicted of every document."""
-    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, with_row: bool = False) -> DataFrame:
+    """id, held_out, score, predicted of every document; with ``with_row`` also row, the hash of its text."""
+    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, with_row)
     return scored.select(
         "id",
         F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *(["row"] if with_row else []),
     )
 
 
