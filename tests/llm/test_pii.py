@@ -85,3 +85,8 @@ def test_edges(edge_docs, edge_rows, empty_docs):
     got = sorted(((r["id"], r["base_sha256"]) for r in find_pii(edge_docs).collect()), key=repr)
     assert got == sorted(((i, brute(t)[1]) for i, t, *_ in edge_rows), key=repr)
     assert find_pii(empty_docs).count() == 0
+
+
+def test_spaced_out_cards(spark):
+    digits = ["4111111111111111", "5500000000000004", "4111111111111112", "30569309025904"]
+    check(spark, [f"{before}{by.join(d)}{after}" for d in digits for by in " -" for before in ("", "card ") for after in ("", " é.")])

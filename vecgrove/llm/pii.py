@@ -44,8 +44,10 @@ PATTERNS = {
     "tel": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20./-])[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: What a text must contain for a kind to be worth looking for.
+#: What a text must contain for a kind to be worth looking for; for other kinds, ``DIGITS``.
 HINTS = {"email": "@", "phone": "+", "ssn": "-"}
+#: In every match of an ip, a card (its digits may all stand apart), an IBAN and a national number.
+DIGITS = r"[0-9][\x20.-]?[0-9]"
 #: Score of a confirmed span by kind, what a telling word before it adds, and the words.
 SCORES = {
     "email": (0.9, 0.1, "mail|contact|kontakt|correo"),
@@ -118,7 +120,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if kind in HINTS:
             matches = F.when(F.contains("text", F.lit(HINTS[kind])), matches).otherwise(none)
         else:
-            matches = F.when(F.col("text").rlike("[0-9]{2}|[0-9]\\."), matches).otherwise(none)
+            matches = F.when(F.col("text").rlike(DIGITS), matches).otherwise(none)
         found = found.withColumn(f"m_{kind}", matches)
     for kind in KINDS:
         found = found.withColumn(f"s_{kind}", _spans(kind))
