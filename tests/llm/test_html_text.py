@@ -87,3 +87,10 @@ def test_edges(spark):
     out = sorted(((r["id"], r["text"], r["n_lines"]) for r in extract(pages).collect()), key=repr)
     assert out == sorted([(1, "", 0), (2, "", 0), (3, "a", 1), (3, "a", 1), (None, "b", 1)], key=repr)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_upper_case_ends_and_displayed_elements():
+    assert html_to_text("<p>\u0130<SCRIPT>x</SCRIPT><Style>y</STYLE><TITLE>z</TITLE>seen") == "\u0130seen"
+    page = "<p>a</p><svg><text>e</text></svg><math><mi>f</mi></math>"
+    text = html_to_text(page)
+    assert all(x in text for x in ("a", "e", "f"))

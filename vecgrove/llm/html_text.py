@@ -32,7 +32,7 @@ _MAX_INDENT = 20
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _UNSEEN = frozenset(
-    "head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select option optgroup textarea input meta link base area param source track".split()
+    "head script style template title noscript iframe noembed noframes object audio video canvas datalist select option optgroup textarea input meta link base area param source track".split()
 )
 _WIDE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu dir".split())  # a blank line around
 _BLOCK = _WIDE | frozenset(
@@ -52,6 +52,8 @@ _ENDS = {
     "body": ({"head"}, set()),
 }
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: End tags of raw text.
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in _RAW}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _HIDING = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -90,7 +92,6 @@ def _tag_end(html: str, at: int) -> int:
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("text", s, {}), ("open", tag, attributes), ("close", tag, {})."""
     at, n = 0, len(html)
-    lowered = None
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -128,10 +129,8 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         found = _ATTRIBUTE.findall(html[m.end() : end])
         yield "open", tag, {k.lower(): unescape(a or b or c) for k, a, b, c in reversed(found)}
         if tag in _RAW:
-            if lowered is None:
-                lowered = html.lower() if len(html.lower()) == n else html
-            stop = lowered.find(f"</{tag}", at)
-            stop = n if stop < 0 else stop
+            found = _RAW_END[tag].search(html, at)
+            stop = found.start() if found else n
             if stop > at:
                 yield "text", html[at:stop], {}
             at = stop
