@@ -113,3 +113,11 @@ def test_weak_edges(edge_docs, edge_rows, empty_docs):
     assert len(out) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in out)
     assert len({r["score"] for r in out if r["id"] == 4}) == 1
     assert Q.weak_quality(empty_docs).count() == 0
+
+
+def test_long_words_count_whole():
+    from vecgrove.llm.weak_quality import _squeeze
+
+    known = {}
+    assert _squeeze(b"x" * 64 + b"#x.", known) == b"xx#x." and not known
+    assert _squeeze(b"xxxx.", known) == b"xx." and known

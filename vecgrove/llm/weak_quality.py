@@ -80,16 +80,15 @@ def votes(text: bytes, words: list[bytes], shapes: list[bytes]) -> str:
     )
 
 
+_RUN = re.compile(rb"(.)\1{2,}", re.S)
+
+
 def _squeeze(shape: bytes, known: dict[bytes, bytes]) -> bytes:
     """The shape with runs of a character cut to two."""
     out = known.get(shape)
     if out is None:
-        kept = bytearray()
-        for c in shape[:64]:
-            if len(kept) < 2 or c != kept[-1] or c != kept[-2]:
-                kept.append(c)
-        out = bytes(kept)
-        if len(known) < 1 << 18:
+        out = _RUN.sub(rb"\1\1", shape)
+        if len(shape) <= 64 and len(known) < 1 << 18:
             known[shape] = out
     return out
 
