@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from vecgrove.llm.pii import find_pii
 
@@ -90,3 +91,39 @@ def test_edges(edge_docs, edge_rows, empty_docs):
 def test_spaced_out_cards(spark):
     digits = ["4111111111111111", "5500000000000004", "4111111111111112", "30569309025904"]
     check(spark, [f"{before}{by.join(d)}{after}" for d in digits for by in " -" for before in ("", "card ") for after in ("", " é.")])
+
+
+def test_texts_of_single_digits(spark):
+    rng = random.Random(8)
+    made = []
+    for _ in range(3000):
+        by = rng.choice([" ", "-", " -", "  -", ". "])
+        made.append("".join(rng.choice("0123456789") + rng.choice(by) for _ in range(rng.randrange(12, 22))) + rng.choice(["", " x", "."]))
+    check(spark, made)
+
+
+def test_many_spans_in_linear_time(spark):
+    began = time.time()
+    check(spark, ["a@b.cd " * 64_000])
+    assert time.time() - began < 20
+
+
+def test_added_spans_beside_base_spans(spark):
+    """Added kinds are kept exactly where no base span overlaps, in long walks too."""
+    rng = random.Random(3)
+    part = ["call 555-123-4567 ", "ssn 078-05-1120 ", "tel +49 (170) 555-123-4567 ", "a@b.cd ", "1.2.3.4 ", "phone 555-123-4567@x.yz ", "call 4111-1111-1111-1111 ", "x "]
+    texts = ["".join(rng.choice(part) for _ in range(n)) for n in (3, 40, 300, 2000) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in find_pii(df).collect():
+        t = texts[r["id"]]
+        base = [(int(a), int(b)) for a, b in (x.split(":")[1:] for x in brute(t)[2])]
+        want = []
+        for kind, pattern, words in (
+            ("tel", r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ ./-])[0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])", "phone|tel|call"),
+            ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn"),
+        ):
+            for m in re.finditer(pattern, t):
+                told = re.search(f"(?<![a-z])({words})(?![a-z])", t[max(0, m.start() - 40) : m.start()])
+                if told and not any(a < m.end() and m.start() < b for a, b in base):
+                    want.append(f"{kind}:{m.start()}:{m.end()}")
+        assert sorted(x for x in r["spans"].split(",") if x.split(":")[0] in ("tel", "ssn")) == sorted(want)

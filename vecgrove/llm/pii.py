@@ -15,8 +15,9 @@ spans as the plain forms
     card  [0-9]([\x20-]?[0-9])+                             14 to 19 digits
     phone \+[0-9][\x20().0-9-]+[0-9]                        10 to 15 digits
 
-Positions come from the pieces between the matches, in code points, end exclusive. Only DataFrame
-functions run: no Python on the executors, no shuffle.
+Positions come from the pieces between the matches, in code points, end exclusive; matches, positions
+and overlaps are walked in chunks, in time linear in the text. Only DataFrame functions run: no Python
+on the executors, no shuffle.
 
 Defined results: null text counts as empty and has no spans; an empty span list has the digest of the
 empty string. Repeated rows get the same result. Empty tables give no rows. Other columns are ignored.
@@ -84,26 +85,47 @@ CHECKS = {
     "iban": _mod97("replace(s.m, ' ', '')"),
 }
 
-_SPAN = "array<struct<start: bigint, kind_no: int, stop: bigint, m: string>>"
+_SPAN = "struct<start: bigint, kind_no: int, stop: bigint, m: string, near: string>"
+#: Items that one array grows by in a walk; arrays of them are joined at the end, so long walks stay linear.
+CHUNK = 256
+
+
+def _walk(items: str, zero: str, step: str, emit: str, kind: str) -> str:
+    """SQL: the array of ``emit`` for each of ``items``. Both ``step`` and ``emit`` see the state ``b.at`` and the item ``x``."""
+    inner = f"aggregate(part, struct(a.at AS at, cast(array() AS array<{kind}>) AS new), (b, x) -> struct({step} AS at, concat(b.new, array({emit})) AS new))"
+    outer = f"element_at(transform(array({inner}), r -> struct(r.at AS at, concat(a.done, array(r.new)) AS done)), 1)"
+    parts = f"transform(sequence(0, (size(items) - 1) div {CHUNK}), j -> slice(items, j * {CHUNK} + 1, {CHUNK}))"
+    walk = f"flatten(aggregate({parts}, struct({zero} AS at, cast(array() AS array<array<{kind}>>) AS done), (a, part) -> {outer}, a -> a.done))"
+    return f"element_at(transform(array({items}), items -> if(size(items) = 0, cast(array() AS array<{kind}>), {walk})), 1)"
 
 
 def _spans(kind: str) -> Column:
-    """Confirmed spans of a kind, from its matches ``m_<kind>`` and the column ``text``."""
+    """Confirmed spans of a kind, from its matches ``m_<kind>`` and the column ``text``; ``near`` is the text just before a span."""
     no, check = KINDS.index(kind), CHECKS.get(kind, "true")
     pieces = f"slice(split(text, r'{PATTERNS[kind]}', -1), 1, size(m_{kind}))"
-    walk = (
-        f"aggregate(zip_with({pieces}, m_{kind}, (gap, m) -> struct(length(gap) AS gap, m AS m)), "
-        f"struct(0L AS pos, cast(array() AS {_SPAN}) AS found), "
-        f"(a, x) -> struct(a.pos + x.gap + length(x.m) AS pos, concat(a.found, array(struct("
-        f"a.pos + x.gap AS start, {no} AS kind_no, a.pos + x.gap + length(x.m) AS stop, x.m AS m))) AS found), a -> a.found)"
+    items = f"zip_with({pieces}, m_{kind}, (gap, m) -> struct(gap AS gap, m AS m))"
+    near = f"right(concat(b.at.tail, right(x.gap, {REACH})), {REACH})"
+    step = f"struct(b.at.pos + length(x.gap) + length(x.m) AS pos, right(concat({near}, right(x.m, {REACH})), {REACH}) AS tail)"
+    emit = (
+        f"struct(b.at.pos + length(x.gap) AS start, {no} AS kind_no, b.at.pos + length(x.gap) + length(x.m) AS stop, x.m AS m, lower({near}) AS near)"
     )
-    return F.expr(f"CASE WHEN size(m_{kind}) > 0 THEN filter({walk}, s -> {check}) ELSE cast(array() AS {_SPAN}) END")
+    walk = _walk(items, "struct(0L AS pos, '' AS tail)", step, emit, _SPAN)
+    return F.expr(f"CASE WHEN size(m_{kind}) > 0 THEN filter({walk}, s -> {check}) ELSE cast(array() AS array<{_SPAN}>) END")
 
 
 def _score(kind: str) -> str:
     base, more, words = SCORES[kind]
-    near = f"lower(substr(text, int(greatest(s.start - {REACH}, 0)) + 1, int(least(s.start, {REACH}))))"
-    return f"({base} + if({near} rlike '(?<![a-z])({words})(?![a-z])', {more}, 0.0))"
+    return f"({base} + if(s.near rlike '(?<![a-z])({words})(?![a-z])', {more}, 0.0))"
+
+
+def _apart(spans: str) -> str:
+    """SQL: ``spans``, sorted, without those of the added kinds that overlap one of the base kinds."""
+    base = f"x.kind_no < {len(BASE)}"
+    upto = _walk("spans", "0L", f"greatest(b.at, if({base}, x.stop, 0L))", "b.at", "bigint")
+    last = f"{(1 << 62)}L"
+    ahead = f"reverse({_walk('reverse(spans)', last, f'least(b.at, if({base}, x.start, {last}))', 'b.at', 'bigint')})"
+    keep = f"filter(spans, (s, i) -> s.kind_no < {len(BASE)} OR (w.upto[i] <= s.start AND w.ahead[i] >= s.stop))"
+    return f"element_at(transform(array({spans}), spans -> element_at(transform(array(struct({upto} AS upto, {ahead} AS ahead)), w -> {keep}), 1)), 1)"
 
 
 def _digest_form(spans: str) -> str:
@@ -125,11 +147,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for kind in KINDS:
         found = found.withColumn(f"s_{kind}", _spans(kind))
     found = found.withColumn("base", F.expr(f"array_sort(concat({', '.join('s_' + k for k in BASE)}))"))
-    added = []
-    for kind in KINDS[4:]:
-        free = "NOT exists(base, b -> b.start < s.stop AND s.start < b.stop)"
-        added.append(f"filter(s_{kind}, s -> {_score(kind)} >= {MIN_SCORE} AND {free})")
-    found = found.withColumn("spans", F.expr(f"array_sort(concat(base, {', '.join(added)}))"))
+    added = ", ".join(f"filter(s_{k}, s -> {_score(k)} >= {MIN_SCORE})" for k in KINDS[len(BASE):])
+    found = found.withColumn("extra", F.expr(f"concat({added})"))
+    found = found.withColumn("spans", F.expr(f"CASE WHEN size(extra) > 0 THEN {_apart('array_sort(concat(base, extra))')} ELSE base END"))
     score = "CASE s.kind_no " + " ".join(f"WHEN {i} THEN {_score(k)}" for i, k in enumerate(KINDS)) + " END"
     names = ", ".join(f"'{k}'" for k in KINDS)
     return found.select(
