@@ -43,3 +43,28 @@ def test_byte_verification_separates_clashing_digests(edge_docs, edge_rows):
 
 def test_empty(empty_docs):
     assert exact_dedup(empty_docs).count() == 0
+
+
+def test_many_small_memtables(sf_docs, sf_rows, edge_docs, edge_rows):
+    """Several flushes a partition and several levels of compaction."""
+    assert got(exact_dedup(sf_docs.repartition(7), memtable_rows=2)) == brute(sf_rows)
+    assert got(exact_dedup(edge_docs, memtable_rows=1)) == brute(edge_rows)
+
+
+def test_memtables_hold_their_bound_and_levels_merge(spark):
+    from vecgrove.llm import exact_dedup as E
+
+    log = E.stored(spark.range(1000).select("id", F.col("id").alias("ord"), F.sha2((F.col("id") % 300).cast("string"), 256).cast("binary").alias("digest")).repartition(3), "log")
+    level = E._flush(log, 10)
+    sizes = [r["rows"] for r in level.groupBy("run").agg(F.sum("n").alias("rows")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 10 and len(sizes) >= 100
+    merged = E._compact(level, 4)
+    assert merged.count() == 300 and merged.agg(F.sum("n")).first()[0] == 1000
+    assert {r["ord"] for r in merged.collect()} == set(range(300))
+
+
+def test_hot_digests_are_joined_in_place(sf_docs, sf_rows, monkeypatch):
+    from vecgrove.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    assert got(exact_dedup(sf_docs)) == brute(sf_rows)

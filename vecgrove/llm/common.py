@@ -46,19 +46,31 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-#: Rows of at most this many ids are sent to all executors; larger sets are joined by a shuffle.
+#: Tables of at most this many short rows are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
 
 def sendable(small: DataFrame) -> DataFrame:
-    """A table of ids (and a number), marked for broadcast if it is counted to be small enough."""
+    """A table of short rows, marked for broadcast if it is counted to be small enough."""
     return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
 
 
-def like(docs: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join of ``docs`` with ids in the one column of ``keys``; columns of ``docs`` stay as they are."""
-    other = sendable(keys.toDF("_vg_key"))
-    return docs.join(other, docs[key].eqNullSafe(F.col("_vg_key")), how)
+#: A key with more rows than this is hot: its rows are joined where they are instead of being gathered.
+HOT_ROWS = 1 << 17
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join on ``key``, unique in ``small``, whose column ``n`` counts the key's rows in ``big``.
+
+    Hot keys, one in ``HOT_ROWS`` rows of ``big`` at most, are sent to all executors.
+    """
+    hot = F.col(n) > HOT_ROWS
+    few = small.where(hot)
+    if not few.limit(1).count():
+        return big.join(small, key)
+    few = sendable(few)
+    rest = big.join(few.select(key), key, "left_anti").join(small.where(~hot), key)
+    return big.join(few, key).unionByName(rest)
 
 
 def row_hash(text: Column) -> Column:
@@ -66,10 +78,46 @@ def row_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+#: Bits of one row of a bitmap, as bitmap_construct_agg makes them.
+BITMAP = 32768
+#: A bitmap never has more bits than this (128 MB); beyond, it only lets more rows through.
+MAX_BITS = 1 << 30
+
+
+def bitmap_of(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A bitmap over the one column of ``hashes``, n of them, in rows (block, bitmap), and its size in bits."""
+    bits = BITMAP
+    while bits < min(16 * n, MAX_BITS):
+        bits *= 2
+    slots = hashes.toDF("h").select(F.pmod("h", F.lit(bits)).alias("slot"))
+    made = slots.groupBy(F.floor(F.col("slot") / BITMAP).cast("int").alias("_vg_block")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("_vg_bitmap"))
+    return made, bits
+
+
+def marked_by(df: DataFrame, h: Column, bitmap: DataFrame, bits: int) -> DataFrame:
+    """``df`` with a column _vg_maybe: the hash is in the bitmap, or shares its bit with one that is."""
+    slot = F.pmod(h, F.lit(bits))
+    at = slot % BITMAP
+    byte = F.conv(F.hex(F.substring("_vg_bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = df.join(F.broadcast(bitmap), F.floor(slot / BITMAP).cast("int") == F.col("_vg_block"), "left")
+    return joined.withColumn("_vg_maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_vg_block", "_vg_bitmap")
+
+
 def without_rows(docs: DataFrame, rows: DataFrame, mark: Column, key: str = "doc_id") -> DataFrame:
-    """Anti join of ``docs`` with ``rows(id, mark)``; ``mark`` is the second column's value of a row of ``docs``."""
-    other = sendable(rows.distinct().toDF("_vg_key", "_vg_mark"))
-    return docs.join(other, docs[key].eqNullSafe(F.col("_vg_key")) & (mark == F.col("_vg_mark")), "left_anti")
+    """``docs`` without ``rows(id, mark)``; ``mark`` is the second column's value of a row of ``docs``.
+
+    Few rows are sent to all executors. Of many, a bitmap of bounded size is: what it does not let through
+    stays where it is, and only the rest, hardly more than what goes, is shuffled for an exact anti join.
+    """
+    rows = rows.distinct().toDF("_vg_key", "_vg_mark")
+    gone = docs[key].eqNullSafe(F.col("_vg_key")) & (mark == F.col("_vg_mark"))
+    n = rows.count()
+    if n <= BROADCAST_IDS:
+        return docs.join(F.broadcast(rows), gone, "left_anti")
+    bitmap, bits = bitmap_of(rows.select(F.xxhash64("_vg_key", "_vg_mark")), n)
+    split = marked_by(docs, F.xxhash64(docs[key].cast("bigint"), mark), stored(bitmap, "rows-bitmap"), bits)
+    sure = split.where("NOT _vg_maybe").drop("_vg_maybe")
+    return sure.unionByName(split.where("_vg_maybe").drop("_vg_maybe").join(rows, gone, "left_anti"))
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:

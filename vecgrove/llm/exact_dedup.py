@@ -3,15 +3,19 @@
 Every row and whole text is read. ``exact_dedup`` follows the life of such an index:
 
 * write-ahead log: ``(id, digest)`` of each row, written once to the shared folder;
-* memtables: rows are dealt into ``n_memtables`` runs by id; each run keeps, for a digest, the
-  smallest order key and a count (map-side aggregation first, so a hot digest is one row per task);
-* flush: runs are written sorted by digest, with Parquet bloom filters on the digest;
-* compaction: runs are merged into one level, smallest order key and summed count per digest;
-* filter: digests of two or more rows go into a bitmap of bounded size (16 MB at most), broadcast,
-  so that the second scan of the texts sends on only rows that may be hits;
+* memtables: each takes at most ``memtable_rows`` rows of the log, in the log's order, and keeps, for a
+  digest, the smallest order key and a count (a hot digest is one row per memtable);
+* flush: each memtable becomes a run of level 0, sorted by digest;
+* compaction: ``FANOUT`` runs at a time are merged into one of the next level, smallest order key and
+  summed count per digest, until one run is left;
+* filter: digests of two or more rows go into a bitmap of bounded size (128 MB at most), broadcast, that
+  the second scan of the texts probes, so that it sends on only rows that may be hits;
 * byte verification: hits are aggregated by digest *and* whole text. A digest with two texts is a
   collision; its rows are regrouped by their text.
 
+Not kept of such an index: a filter for each run. All digests are looked up at once, so a look-up in the
+runs is their merge, and only the last run's repeated digests have a filter.
+
 Only DataFrame functions run: no Python on the executors.
 
 Defined results: null text counts as empty; texts are equal when identical after lower-casing A-Z.
@@ -27,71 +31,42 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import ascii_lower, store_path, stored, table
+from vecgrove.llm.common import ascii_lower, bitmap_of, join_counted, marked_by, stored, table
 
-#: Bits of one row of the hit filter, as bitmap_construct_agg makes them.
-BITMAP = 32768
-#: The hit filter never has more bits than this (16 MB); beyond, it only lets more rows through.
-MAX_FILTER_BITS = 1 << 27
+#: Rows of the log per memtable, and runs merged into one.
+MEMTABLE_ROWS, FANOUT = 1 << 18, 16
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _flush(log: DataFrame, n_memtables: int) -> DataFrame:
-    """Write the sorted runs, one folder each, and read them back."""
-    spark = log.sparkSession
-    path = store_path(spark, "lsm-level0")
-    runs = (
-        log.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(n_memtables)).cast("int"))
-        .groupBy("run", "digest")
-        .agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
-    )
-    (
-        runs.sortWithinPartitions("run", "digest")
-        .write.option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.expected.ndv#digest", "100000")
-        .partitionBy("run")
-        .parquet(path)
-    )
-    return spark.read.schema("digest binary, ord bigint, n bigint, run int").parquet(path)
-
-
-def _compact(runs: DataFrame) -> DataFrame:
-    return stored(runs.groupBy("digest").agg(F.min("ord").alias("ord"), F.sum("n").alias("n")), "lsm-level1")
+def _flush(log: DataFrame, memtable_rows: int) -> DataFrame:
+    """Level 0: run, digest, ord, n. The log is a written table, so its rows have fixed places in its splits."""
+    place = F.monotonically_increasing_id()
+    placed = log.withColumn("part", F.shiftright(place, 33)).withColumn("turn", F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}L) div {memtable_rows}"))
+    level = placed.groupBy("part", "turn", "digest").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    level = stored(level.sortWithinPartitions("part", "turn", "digest"), "lsm-level0")
+    turns = (level.agg(F.max("turn")).first()[0] or 0) + 1
+    return level.select((F.col("part") * turns + F.col("turn")).alias("run"), "digest", "ord", "n")
 
 
-def _slot(digest: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(bits))
-
-
-def _hit_filter(level: DataFrame) -> tuple[DataFrame, int]:
-    """Bitmap over the digests with two or more rows, and its size in bits."""
-    multi = level.where("n > 1")
-    bits = BITMAP
-    while bits < min(16 * multi.count(), MAX_FILTER_BITS):
-        bits *= 2
-    slot = _slot(F.col("digest"), bits)
-    made = multi.groupBy(F.floor(slot / BITMAP).cast("int").alias("block")).agg(
-        F.bitmap_construct_agg((slot % BITMAP).cast("bigint")).alias("bitmap")
-    )
-    return made, bits
+def _compact(level: DataFrame, fanout: int) -> DataFrame:
+    """digest, ord, n of the one run that is left."""
+    last, depth = level.agg(F.max("run")).first()[0] or 0, 0
+    while True:
+        last, depth = last // fanout, depth + 1
+        merged = level.withColumn("run", F.expr(f"run div {fanout}")).groupBy("run", "digest").agg(F.min("ord").alias("ord"), F.sum("n").alias("n"))
+        level = stored(merged.sortWithinPartitions("run", "digest"), f"lsm-level{depth}")
+        if not last:
+            return level.drop("run")
 
 
 def _hits(texts: DataFrame, level: DataFrame) -> DataFrame:
     """Rows of ``texts(id, ord, text, digest)`` that the filter lets through."""
-    made, bits = _hit_filter(level)
-    slot = _slot(F.col("digest"), bits)
-    at = F.col("slot") % BITMAP
-    byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        texts.withColumn("slot", slot)
-        .withColumn("block", F.floor(F.col("slot") / BITMAP).cast("int"))
-        .join(F.broadcast(made), "block")
-        .where(F.getbit(byte, (at % 8).cast("int")) == 1)
-        .select("id", "ord", "text", "digest")
-    )
+    multi = level.where("n > 1")
+    bitmap, bits = bitmap_of(multi.select(F.xxhash64("digest")), multi.count())
+    return marked_by(texts, F.xxhash64("digest"), bitmap, bits).where("_vg_maybe").select("id", "ord", "text", "digest")
 
 
 def exact_dedup(
@@ -99,7 +74,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "max",
-    n_memtables: int = 4,
+    memtable_rows: int = MEMTABLE_ROWS,
     digest: Callable[[Column], Column] = sha256,
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, digest (binary). See the module's text."""
@@ -110,13 +85,13 @@ def exact_dedup(
         .withColumn("digest", digest(F.col("text")))
     )
     log = stored(texts.select("id", "ord", "digest"), "lsm-log")
-    level = _compact(_flush(log, n_memtables))
+    level = _compact(_flush(log, memtable_rows), FANOUT)
     verified = stored(
         _hits(texts, level).groupBy("digest", "text").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")).drop("text"),
         "lsm-verified",
     )
     clashing = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
-    rows = log.join(level.withColumnRenamed("ord", "first"), "digest").select("id", "first", "n", "digest")
+    rows = join_counted(log, level.withColumnRenamed("ord", "first"), "digest", "n").select("id", "first", "n", "digest")
     if clashing.limit(1).count():
         clashing = stored(clashing, "lsm-clashing")
         doubtful = texts.join(clashing, "digest", "left_semi")
