@@ -1,9 +1,15 @@
 """Near copies: groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with the same words are one *node*. A node's shingle hashes give ``BANDS`` keys of ``ROWS`` MinHash
-values each; nodes that share a key are candidates, and every candidate link is verified by the Jaccard
-similarity of the whole shingle sets. Two nodes of similarity s share no key with probability
-(1 - s ** ROWS) ** BANDS, that is 2e-6 at 0.8 and less above; nothing else is left out.
+SimHash with similarity as the measure. Texts with the same words are one *node*, with the 64-bit
+fingerprint of its five-word shingles. Fingerprints within ``MAX_BITS`` bits, found by the generalised
+pigeonhole search of ``simhash``, make candidate links, and every candidate is verified by the Jaccard
+similarity of the whole shingle sets.
+
+Most pairs of similarity 0.8 differ in more bits than such a search can allow (their mean is near ten of
+64, and masks for so many would keep too few bits to tell texts apart), so a node's shingle hashes also
+give ``BANDS`` keys of ``ROWS`` MinHash values each, and nodes that share a key are candidates too. Two
+nodes of similarity s share no key with probability (1 - s ** ROWS) ** BANDS, that is 2e-6 at 0.8 and
+less above; nothing else is left out.
 
 Under each key all nodes are compared with the smallest one first. Where the links found leave more than
 one component under a key, the pairs across its components are compared too. Pairs whose set sizes alone
@@ -25,9 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.llm.common import lower_bytes, row_hash, sendable, stored
-from vecgrove.llm.simhash import components
+from vecgrove.llm.simhash import components, links, majority
 
 WORDS = 5
+#: Bits in which fingerprints of candidates may differ.
+MAX_BITS = 4
 #: 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs of similarity 0.8 share a key.
 ROWS, BANDS = 4, 25
 #: Pairs of one node that are verified by one task.
@@ -64,25 +72,32 @@ def keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row (hash of the text), node, n (shingles), keys."""
+    """id, row (hash of the text), node, n (shingles), fp (fingerprint), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, found = [], [], []
+            nodes, sizes, prints, found = [], [], [], []
             for t in b.column(2):
                 node, h = shingles(t.as_py())
                 nodes.append(node)
                 sizes.append(len(h))
+                prints.append(majority(h))
                 found.append(keys(h).view(np.int64))
             at = np.cumsum([0, *map(len, found)], dtype=np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["id", "row", "node", "n", "keys"],
+                [
+                    *b.columns[:2],
+                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
+                ],
+                ["id", "row", "node", "n", "fp", "keys"],
             )
 
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), row_hash(docs[text_col]).alias("row"), docs[text_col].cast("binary").alias("text"))
-    return picked.mapInArrow(run, "id bigint, row bigint, node bigint, n bigint, keys array<bigint>")
+    return picked.mapInArrow(run, "id bigint, row bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,6 +136,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, id_col: str,
     return both.withColumn("shared", shared).where("5 * shared >= 4 * (size(ha) + size(hb) - shared)").select("a", "b")
 
 
+def _by_fingerprint(signed: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): nodes of the same fingerprint, and the first nodes of fingerprints that link."""
+    nodes = signed.select("fp", "node", "n").distinct()
+    first = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f"), F.count(F.lit(1)).alias("nodes")), "near-prints")
+    first = first.select("fp", F.col("f.node").alias("first"), F.col("f.n").alias("m"), "nodes")
+    same = nodes.join(sendable(first.where("nodes > 1")), "fp").where("node <> first")
+    same = same.where(_fit("n", "m")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select("fp"), MAX_BITS).where("a <> b").distinct()
+    x, y = (first.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"), F.col("m").alias(f"n_{c}")) for c in "ab")
+    near = near.join(x, "a").join(y, "b").where(_fit("n_a", "n_b"))
+    return same.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row (hash of the text), component per row."""
     signed = stored(signatures(docs, id_col, text_col), "near-signatures")
@@ -129,8 +157,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = stored(shared, "near-keys")
     members = stored(keyed.join(sendable(shared), "key").select("key", "node", "n", "a").distinct(), "near-members")
     sizes = members.where("node = a").select("key", F.col("n").alias("m"))
-    pairs = members.where("node <> a").join(sendable(sizes), "key").where(_fit("n", "m")).select("a", F.col("node").alias("b")).distinct()
-    pairs = stored(pairs, "near-pairs")
+    pairs = members.where("node <> a").join(sendable(sizes), "key").where(_fit("n", "m")).select("a", F.col("node").alias("b"))
+    pairs = stored(pairs.unionByName(_by_fingerprint(signed)).distinct(), "near-pairs")
     good = stored(_verified(pairs, docs, signed, id_col, text_col), "near-links")
     labels = stored(components(good), "near-labels")
     # keys under which the links so far leave more than one component

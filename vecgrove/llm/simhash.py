@@ -41,6 +41,23 @@ SMALL_RUN = 48
 ROW_COST, PAIR_COST = 1.0, 0.02
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _packed(over_half: np.ndarray) -> int:
+    return int(np.packbits(over_half, bitorder="little").view(np.uint64)[0])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):  # bounded memory on very long texts
+        counts += _ones(hashes[at : at + 65536])
+    return _packed(2 * counts > len(hashes))
+
+
 def fingerprint(text: bytes | None, words_per: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of the text's word shingles."""
     words = lower_bytes(text or b"").split()
@@ -54,12 +71,11 @@ def fingerprint(text: bytes | None, words_per: int = 4, seed: int = 42) -> int:
     n = len(words) - words_per + 1
     one = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory on very long texts
+    for at in range(0, n, 65536):
         upto = min(at + 65536, n)
         spans = zip(starts[at:upto].tolist(), ends[at + words_per - 1 : upto + words_per - 1].tolist(), strict=True)
-        h = np.fromiter((one(joined[a:b], seed) for a, b in spans), np.uint64, upto - at)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        counts += _ones(np.fromiter((one(joined[a:b], seed) for a, b in spans), np.uint64, upto - at))
+    return _packed(2 * counts > n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 4) -> DataFrame:
