@@ -90,3 +90,27 @@ def cheapest_flow(sizes, members, quotas, repeat=3):
             arcs[e][1] -= push
             arcs[e ^ 1][1] += push
         sent, spent = sent + push, spent + push * far["to"]
+
+
+def shingle_set(text, words=5):
+    w = WORD.findall((text or "").translate(str.maketrans(UP, LOW)))
+    return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) > words else frozenset([tuple(w)] if w else [])
+
+
+def brute_similar(texts, least=0.8):
+    """Smallest index reachable by pairs of that similarity, of each text."""
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and len(a & b) >= least * len(a | b)):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    return [root(i) for i in range(len(sets))]

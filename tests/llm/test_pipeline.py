@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline as C
-from brute import brute_components, brute_fp
+from brute import brute_similar
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,16 +43,35 @@ def test_exact_stage(spark, sf, request, which):
 @pytest.mark.parametrize("which", ["sf_docs", "edge_docs"])
 def test_near_stage(spark, sf, request, which):
     docs = C.stored(C.drop_copies(spark, request.getfixturevalue(which), sf), "test")
-    out = C.drop_near_copies(spark, docs, sf)
+    out = C.drop_similar(spark, docs, sf)
     assert out.columns == docs.columns
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     groups = defaultdict(list)
-    for (i, _), lab in zip(rows, brute_components([brute_fp(t) for _, t in rows]), strict=True):
+    for (i, _), lab in zip(rows, brute_similar([t for _, t in rows]), strict=True):
         groups[lab].append(i)
     want = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("most", [0, 250_000])
+def test_stages_drop_the_same_rows_by_bitmap(spark, sf, sf_docs, most, monkeypatch):
+    """Many rows go through a bitmap and an exact join, few are sent; both leave the same documents."""
+    from vecgrove.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    kept = C.stored(C.drop_copies(spark, sf_docs, sf), "test")
+    best = {}
+    for r in sf_docs.collect():
+        t = r["text"].translate(str.maketrans(UP, LOW))
+        best[t] = max(best.get(t, -1), r["doc_id"])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(best.values())
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    first = {}
+    for (i, _), lab in zip(rows, brute_similar([t for _, t in rows]), strict=True):
+        first[lab] = min(first.get(lab, i), i)
+    assert sorted(r["doc_id"] for r in C.drop_similar(spark, kept, sf).collect()) == sorted(first.values())
+
+
 def test_mix_stage(spark, sf, sf_docs):
     from vecgrove.llm.mixing import mix
 

@@ -18,17 +18,18 @@ score is 0 (to within 1e-15). Repeated rows get the same score. Empty tables giv
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import fold, hash_sample, row_hash, table
+from vecgrove.llm.common import fold, hash_sample, table
 
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -153,36 +154,56 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(bits, m["bias"], np.frombuffer(m["at"], np.int32), np.frombuffer(m["w"], np.float32))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """id, score (0 to 1) of every document; with ``with_row`` also row, the hash of its text."""
+def _scorer(sent: Broadcast) -> Callable[[pa.Array], np.ndarray]:
+    own = Model(*sent.value)
+    w, hashed = own.dense(), Hasher(own.bits)
+
+    def run(texts: pa.Array) -> np.ndarray:
+        out = np.empty(len(texts))
+        for i, t in enumerate(texts):
+            x = hashed(t.as_py())
+            x = np.unique(x[w[x] != 0])
+            out[i] = own.bias + float(w[x].sum(dtype=np.float64))
+        return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score (0 to 1) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bits, model.bias, model.index, model.weight))
 
-    row = ["row"] if with_row else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(sent)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], ["id", "score"])
+
+    picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
+    return picked.mapInArrow(run, "id bigint, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; each is judged where it is read, by its own text."""
+    model = fit(docs, labels, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast((model.bits, model.bias, model.index, model.weight))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
-        w, hashed = own.dense(), Hasher(own.bits)
+        scores = _scorer(sent)
         for b in batches:
-            out = np.empty(b.num_rows)
-            for i, t in enumerate(b.column(1)):
-                x = hashed(t.as_py())
-                x = np.unique(x[w[x] != 0])
-                out[i] = own.bias + float(w[x].sum(dtype=np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35)))), *b.columns[2:]], ["id", "score", *row])
+            yield b.filter(pa.array(scores(b.column(at)) < threshold))
 
-    picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"), *[row_hash(docs[text_col]).alias(x) for x in row])
-    return picked.mapInArrow(run, "id bigint, score double" + (", row bigint" if with_row else ""))
+    return docs.mapInArrow(run, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, with_row: bool = False) -> DataFrame:
-    """id, held_out, score, predicted of every document; with ``with_row`` also row, the hash of its text."""
-    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, with_row)
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, held_out, score, predicted of every document."""
+    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
     return scored.select(
         "id",
         F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
-        *(["row"] if with_row else []),
     )
 
 
