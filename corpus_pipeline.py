@@ -12,26 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import ascii_lower, like, row_hash, sendable, stored, table, without_rows
+from vecgrove.llm.common import ascii_lower, row_hash, sendable, stored, table, without_rows
 from vecgrove.llm.exact_dedup import exact_dedup, sha256
-from vecgrove.llm.mixing import mix
+from vecgrove.llm.mixing import mixed_documents
 from vecgrove.llm.near_copies import near_copies
 from vecgrove.llm.packing import pack
-from vecgrove.llm.simhash import near_duplicates
-from vecgrove.llm.toxicity import toxicity
+from vecgrove.llm.toxicity import without_toxic
 
 #: Stages draw on training, hashing and tokenising; SQL can express none but exact deduplication.
 ORACLE_SQL = None
 
 
-def _drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return like(docs, ids.distinct(), "doc_id", "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of the documents at hand."""
-    judged = stored(toxicity(docs, table(spark, sf_dir, "labels"), with_row=True), "stage-toxicity")
-    return without_rows(docs, judged.where("predicted = 1").select("id", "row"), row_hash(docs["text"]))
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,15 +55,6 @@ def _one_row_each(docs: DataFrame, twice: DataFrame, mark: Callable[[DataFrame],
     return without_rows(docs, twice, mark(docs)).unionByName(again)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of op9's near-duplicates (fingerprints within 4 bits) stays, that of the smallest id.
-
-    Not the pipeline's stage, which is ``drop_similar``.
-    """
-    found = stored(near_duplicates(docs), "stage-near-copies")
-    return _drop_ids(docs, found.where("id <> component_id").select("id"))
-
-
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by a five-word similarity of 0.8 or more stays, that of the smallest id, null last."""
     found = stored(near_copies(docs), "stage-similar")
@@ -86,10 +71,7 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mix(docs, with_row=True).groupBy("id", "row").agg(F.max("copies").alias("copies")).where("copies > 0")
-    mixed = stored(mixed, "stage-mix").toDF("_vg_key", "_vg_row", "_vg_copies")
-    joined = docs.join(sendable(mixed), docs["doc_id"].eqNullSafe(F.col("_vg_key")) & (_text_row(docs) == F.col("_vg_row")))
-    return joined.withColumn("_vg_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_vg_copies"))).drop("_vg_key", "_vg_row", "_vg_copies", "_vg_copy")
+    return mixed_documents(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
