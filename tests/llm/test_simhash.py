@@ -77,6 +77,43 @@ def test_hot_values_are_cut_into_blocks(spark, monkeypatch):
     assert [got.get(int(x), int(x)) for x in order.view(np.int64)] == want
 
 
+@pytest.mark.parametrize(("block", "blocks", "rounds"), [(20, 1, 4), (50, 2, 1), (8, 1, 2)])
+def test_hot_values_are_refined(spark, monkeypatch, block, blocks, rounds):
+    import vecgrove.llm.simhash as m
+
+    monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(m, "MAX_BLOCKS", blocks)
+    monkeypatch.setattr(m, "REFINE", rounds)
+    v = np.array(clustered(1200, 5, near=0.6), np.uint64)
+    v[:900] &= np.uint64(0xFFFFFFF000000000)  # most rows agree in more than half of the bits
+    v = np.unique(v)
+    df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp bigint")
+    masks = m.masks_for(v, 4, len(v))
+    origins, n = list(range(len(masks))), len(masks)
+    m.deal(df, masks, origins, 4)
+    assert len(masks) == len(origins) > n and all(o < n for o in origins)
+    got = {r["node"]: r["label"] for r in components(m.links(df)).collect()}
+    order = v[np.argsort(v.view(np.int64))]
+    want = [int(order[i].view(np.int64)) for i in brute_components(order)]
+    assert [got.get(int(x), int(x)) for x in order.view(np.int64)] == want
+
+
+@pytest.mark.parametrize("max_bits", [1, 4])
+def test_linked_rows_agree_under_a_refined_mask(max_bits):
+    from vecgrove.llm.simhash import refined
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        mask = int(rng.integers(0, 1 << 63, dtype=np.uint64)) << 1
+        x = int(rng.integers(0, 1 << 63, dtype=np.uint64))
+        free = [b for b in range(64) if not mask >> b & 1]
+        y = x
+        for b in rng.choice(free, max_bits, replace=False).tolist():
+            y ^= 1 << b
+        assert any(x & m == y & m for m in refined(mask, max_bits)) and all(m & mask == mask for m in refined(mask, max_bits))
+    assert refined((1 << 64) - 1, 4) == []
+
+
 def test_every_hot_value_is_found(spark, monkeypatch):
     """Also one far too rare for a sample; the counted blocks cover it."""
     import vecgrove.llm.simhash as m

@@ -9,9 +9,11 @@ and rows that agree under a mask are compared (popcount) and verified. The resul
 sample only steers cost.
 
 Distribution: documents collapse to distinct fingerprints first. Under each mask, fingerprints are
-dealt by (mask, masked value); all masked values are counted, hot ones are cut into blocks and each
-pair of blocks is a unit of its own, so that no unit holds much more than two blocks. A unit emits no
-pairs beyond a spanning set: for a run of more than ``SMALL_RUN`` rows, each row links to the smallest
+dealt by (mask, masked value), and all masked values are counted. A hot value is refined: the bits that
+its mask leaves out are grouped once more, and of max_bits + 1 groups linked rows agree on one, so its
+rows are dealt anew under max_bits + 1 longer masks, again if need be. What stays hot after
+``REFINE`` rounds, or is a little too large only, is cut into blocks and each pair of blocks is a unit of
+its own, so that no unit holds much more than two blocks. A unit emits no pairs beyond a spanning set: for a run of more than ``SMALL_RUN`` rows, each row links to the smallest
 one of its component. Components come from label propagation with pointer jumping over the links only;
 every round is a written table.
 
@@ -30,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import hash_sample, lower_bytes, sendable, stored, table
+from vecgrove.llm.common import hash_sample, join_counted, lower_bytes, sendable, stored, table
 
 #: Distinct fingerprints that steer masks; the result does not depend on it.
 SAMPLE = 16_384
-#: Fingerprints of a hot masked value per block.
-BLOCK = 8192
+#: Fingerprints of a masked value per block; blocks beyond which it is refined, and rounds of that.
+BLOCK, MAX_BLOCKS, REFINE = 8192, 4, 4
 SMALL_RUN = 48
 #: Bits of partitions: cost of one emitted row against one compared pair.
 ROW_COST, PAIR_COST = 1.0, 0.02
@@ -173,11 +175,19 @@ def masks_for(sample: np.ndarray, max_bits: int, n: int) -> list[int]:
     return min(plans)[2]
 
 
+def refined(mask: int, max_bits: int) -> list[int]:
+    """Longer masks, under one of which any two rows that agree under ``mask`` and link agree as well; none if it leaves too few bits."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= max_bits:
+        return []
+    return [mask | _value(free[i :: max_bits + 1]) for i in range(max_bits + 1)]
+
+
 # -- links ------------------------------------------------------------------------------------
 
 
-def _small(v: np.ndarray, run: np.ndarray, size: int, slot: int, masks: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs within runs of at most ``size`` rows of sorted values, each under its first mask only."""
+def _small(v: np.ndarray, run: np.ndarray, size: int, earlier: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs within runs of at most ``size`` rows of sorted values, but for those that agree under an earlier mask."""
     a, b = [], []
     for d in range(1, size):
         same = run[:-d] == run[d:]
@@ -186,8 +196,8 @@ def _small(v: np.ndarray, run: np.ndarray, size: int, slot: int, masks: np.ndarr
         a.append(x[near])
         b.append(y[near])
     x, y = (np.concatenate(k) if k else np.zeros(0, np.uint64) for k in (a, b))
-    if len(x) and slot:
-        first = ~((((x ^ y)[:, None] & masks[None, :slot]) == 0).any(1))
+    if len(x) and len(earlier):
+        first = ~((((x ^ y)[:, None] & earlier[None, :]) == 0).any(1))
         x, y = x[first], y[first]
     return x, y
 
@@ -215,8 +225,8 @@ def _spanning(v: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return v[label[other]], v[other]
 
 
-def link_runs(slots: np.ndarray, units: np.ndarray, values: np.ndarray, masks: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by (slot, unit, value under the mask, value)."""
+def link_runs(slots: np.ndarray, units: np.ndarray, values: np.ndarray, masks: np.ndarray, max_bits: int, origins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by (slot, unit, value under the mask, value); a refined mask's origin is the slot that it refines."""
     if not len(values):
         return values, values
     key = values & masks[slots]
@@ -228,7 +238,7 @@ def link_runs(slots: np.ndarray, units: np.ndarray, values: np.ndarray, masks: n
         for least, most in ((2, 8), (9, SMALL_RUN)):
             pick = (slots == slot) & (sizes[run] >= least) & (sizes[run] <= most)
             if pick.any():
-                x, y = _small(values[pick], run[pick], int(sizes[run[pick]].max()), int(slot), masks, max_bits)
+                x, y = _small(values[pick], run[pick], int(sizes[run[pick]].max()), masks[: slot if origins is None else origins[slot]], max_bits)
                 a.append(x)
                 b.append(y)
     for r in np.flatnonzero(sizes > SMALL_RUN):
@@ -249,21 +259,45 @@ def hot_values(dealt: DataFrame) -> DataFrame:
     return stored(counted.select("slot", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot-values")
 
 
+def deal(distinct: DataFrame, masks: list[int], origins: list[int], max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(slot, key, fp) under each mask, and the hot values of it. Refined masks are added to ``masks`` and ``origins``."""
+    masked = F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
+    dealt = distinct.select("fp", F.inline(masked)).select("slot", "key", "fp")
+    hot = hot_values(dealt)
+    for _ in range(REFINE):
+        large = hot.where(F.col("blocks") > MAX_BLOCKS)
+        rows = []
+        for r in large.select("slot").distinct().orderBy("slot").collect():  # as many as masks at most
+            for m in refined(masks[r["slot"]], max_bits):
+                rows.append((r["slot"], len(masks), _signed(m)))
+                masks.append(m)
+                origins.append(origins[r["slot"]])
+        if not rows:
+            break
+        longer = distinct.sparkSession.createDataFrame(rows, "slot int, longer int, mask bigint")
+        large = stored(large.join(F.broadcast(longer.select("slot").distinct()), "slot", "left_semi").select("slot", "key"), "refined-values")
+        again = dealt.join(sendable(large), ["slot", "key"], "left_semi").join(F.broadcast(longer), "slot")
+        again = stored(again.select(F.col("longer").alias("slot"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "refined")
+        dealt = dealt.join(sendable(large), ["slot", "key"], "left_anti").unionByName(again)
+        hot = stored(hot.join(sendable(large), ["slot", "key"], "left_anti").unionByName(hot_values(again)), "hot-values")
+    return dealt, hot
+
+
 def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct(fp)`` within ``max_bits``."""
     n = distinct.count()
     rows = hash_sample(distinct, "fp", SAMPLE).select("fp").collect()
     sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
     masks = masks_for(sample, max_bits, n)
-    held = np.array(masks, np.uint64)
-    masked = F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.inline(masked))
+    origins = list(range(len(masks)))
+    dealt, hot = deal(distinct, masks, origins, max_bits)
+    held, first = np.array(masks, np.uint64), np.array(origins, np.int64)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     with_blocks = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)
     )
     units = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(with_blocks)
-    dealt = dealt.join(sendable(hot_values(dealt)), ["slot", "key"], "left").select("slot", "key", F.explode(units).alias("unit"), "fp")
+    dealt = dealt.join(sendable(hot), ["slot", "key"], "left").select("slot", "key", F.explode(units).alias("unit"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3
@@ -279,7 +313,7 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
             if not last and cut:  # the last run may go on
                 same = (slots == slots[-1]) & (units == units[-1]) & ((values & held[slots]) == (values[-1] & held[slots[-1]]))
                 cut = int(np.argmax(same))
-            x, y = link_runs(slots[:cut], units[:cut], values[:cut], held, max_bits)
+            x, y = link_runs(slots[:cut], units[:cut], values[:cut], held, max_bits, first)
             kept = [k[cut:] for k in kept]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
@@ -324,12 +358,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 4, max_bits: int = 4) -> DataFrame:
     """id, fp (signed long), component_id (smallest id reachable) per document."""
     prints = stored(fingerprints(docs, id_col, text_col, words_per), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     labels = components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", "rows", F.coalesce("label", "fp").alias("label"))
     named = stored(named, "labelled-fingerprints")
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(smallest, "label").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    named = join_counted(named, stored(smallest, "component-ids"), "label", "prints").select("fp", "rows", "component_id")
+    return join_counted(prints, stored(named, "named-fingerprints"), "fp", "rows").select("id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
