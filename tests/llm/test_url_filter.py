@@ -1,20 +1,39 @@
+from collections import Counter
+
 import duckdb
 import pytest
 
-from pyspark.sql import functions as F
-
-from vecgrove.llm.url_filter import OP6_SQL, build_cascade, contains, filter_urls, op6_url_filter
+from vecgrove.llm.url_filter import LISTED_HOSTS, OP6_SQL, build_cascade, filter_urls, op6_url_filter, universe_of, url_parts, with_membership
 
 
-@pytest.mark.parametrize("n", [0, 1, 50, 2000])
-def test_cascade_is_exact_over_the_universe(spark, n):
+@pytest.mark.parametrize(("n", "shard_keys"), [(0, 100_000), (1, 100_000), (50, 100_000), (2000, 100_000), (2000, 300), (3, 50)])
+def test_cascade_is_exact_over_the_universe(spark, n, shard_keys):
     keys = [f"host{i}.example" for i in range(4000)]
     universe = spark.createDataFrame([(k,) for k in [*keys, None, keys[0]]], "key string")
     listed = spark.createDataFrame([(k,) for k in [*keys[:n], "nowhere.example", None]], "key string")
-    levels = build_cascade(listed, universe)
-    got = {r["key"] for r in universe.where(contains(levels, F.col("key"))).collect()}
-    assert got == set(keys[:n])
-    assert n == 0 or len(levels) > 0
+    cascade = build_cascade(universe_of(listed, universe), shard_keys=shard_keys)
+    assert cascade.shards == -(-4000 // shard_keys)
+    out = with_membership(universe.where("key IS NOT NULL"), cascade, "key", "inside").collect()
+    assert len(out) == 4001
+    assert {r["key"] for r in out if r["inside"]} == set(keys[:n])
+    assert n == 0 or cascade.levels > 0
+
+
+def test_a_cascade_too_large_gives_way_to_a_join(spark, sf, monkeypatch):
+    import vecgrove.llm.common as common
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")
+    assert build_cascade(universe_of(listed, pages.select(url_parts(pages["url"])[0])), max_bytes=0) is None
+    want = Counter(map(tuple, filter_urls(pages, listed).collect()))
+    assert Counter(map(tuple, filter_urls(pages, listed, max_bytes=0).collect())) == want
+    monkeypatch.setattr(common, "HOT_ROWS", 1)  # hosts of more pages are joined in place
+    assert Counter(map(tuple, filter_urls(pages, listed, max_bytes=0).collect())) == want
+
+
+def test_filters_are_one_broadcast_and_the_keys_are_not_joined(spark, sf):
+    plan = op6_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 1 and "SortMergeJoin" not in plan and "NestedLoop" not in plan
 
 
 def test_rules(spark):
