@@ -113,3 +113,28 @@ def test_long_words_one_a_letter_longer(tokenizer):
         w = "q" * n
         text = f"{w} {w}. {w}q {w}qq {w}q,"
         assert np.frombuffer(Ids()(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_long_words_with_and_without_stops(spark, tokenizer, monkeypatch):
+    """Words over the length that is remembered, in both orders, through ``pack``."""
+    texts = []
+    for n in range(60, 111):
+        w = "q" * n
+        texts += [f"{w} {w}, {w}.", f"{w}. {w}, {w}", f"{w}q, {w}", f"{w}, {w}q {w}qq."]
+    rows = list(enumerate(texts))
+    check(rows, pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect(), tokenizer)
+    monkeypatch.setattr(P, "_CACHE_WORDS", 3)
+    ids = Ids()
+    for t in texts:
+        assert np.frombuffer(ids(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_repeated_rows_are_dealt_over_shards(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "SHARD", 32)
+    rows = [(None, "the same text")] * 900 + [(i, f"text {i}") for i in range(300)]
+    out = pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    check(rows, out, tokenizer)
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r["sequence_id"] >> 32] += 1
+    assert max(sizes.values()) <= 4 * 32 and len(sizes) > 20

@@ -3,8 +3,10 @@
 Each whole text is tokenised (ids plus an end id) and cut into full windows and a remainder. Windows
 fill a sequence each. Remainders, longest first, go into the open sequence with the tightest fitting
 capacity, found by a segment tree over remaining capacities. Packing is done in shards of about
-``SHARD`` pieces, dealt by hash of document and start, so that no task's work grows with the corpus;
-a shard is a fixed function of its rows, so a lost task is redone with the same result.
+``SHARD`` pieces, dealt by hash of id, start and tokens, so that no task's work grows with the corpus; a
+shard that repeated rows make more than four times as large is dealt again by the rows' places in the
+written table of pieces. A shard is a fixed function of its rows, so a lost task is redone with the same
+result.
 
 A sequence is padded to ``capacity`` except at a length that is a power of two (``padding``).
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import lower_bytes, stored, table
+from vecgrove.llm.common import lower_bytes, sendable, stored, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -212,7 +214,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         return t.append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "start"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)))
+    large = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("parts")).where("parts > 4")
+    if large.limit(1).count():
+        again = dealt.withColumn("place", F.monotonically_increasing_id()).join(sendable(stored(large, "large-shards")), "shard", "left")
+        part = 1 + F.pmod(F.xxhash64("place"), F.col("parts"))
+        dealt = again.withColumn("shard", F.col("shard") + shards * F.coalesce(part, F.lit(0))).select(*cut.columns, "shard")
     return dealt.groupBy("shard").applyInArrow(fill, schema)
 
 
