@@ -62,3 +62,27 @@ def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     out = [(r["doc_id"], r["text"]) for r in dict(C.STAGES)["simhash_near_dedup"](spark, docs, "").collect()]
     assert len(out) == 4 and {(1, b + " end"), (1, "other"), (None, "lone")} < set(out) and {(None, a), (None, a + " end")} & set(out)
+
+
+def test_common_keys_are_dealt_again(spark, monkeypatch):
+    """Passages that most texts share, families of copies of copies: with groups of any size, the same documents stay."""
+    import vecgrove.llm.near_copies as N
+
+    monkeypatch.setattr(N, "GROUP", 4)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([15, 30, 60]))]
+        rows.append(own + passage if k % 3 else own)
+    for _ in range(4):  # chains: each a copy of the last with two words changed
+        w = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(25):
+            w = list(w)
+            for at in rng.sample(range(120), 2):
+                w[at] = f"v{rng.randrange(5000)}"
+            rows.append(w)
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check(rows, dict(C.STAGES)["simhash_near_dedup"](spark, docs, "").collect())

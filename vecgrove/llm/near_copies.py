@@ -11,9 +11,14 @@ give ``BANDS`` keys of ``ROWS`` MinHash values each, and nodes that share a key
 nodes of similarity s share no key with probability (1 - s ** ROWS) ** BANDS, that is 2e-6 at 0.8 and
 less above; nothing else is left out.
 
-Under each key all nodes are compared with the smallest one first. Where the links found leave more than
-one component under a key, the pairs across its components are compared too. Pairs whose set sizes alone
-rule out the similarity are skipped. Shingle sets are made for candidates only.
+Under each key all nodes are compared with one of them, its centre, and those that no link joins to it with
+others in up to ``ROUNDS`` rounds; what the links found leave as more than one component under a key is then
+compared pair by pair across its components. A key that a passage common to many texts gives to more than
+``GROUP`` nodes is not compared so at once: its nodes are dealt again by a further key that they share, as
+often as ``DEEPER`` times, which keeps similar texts together (two of similarity 0.8 share no second key
+with probability 4e-5, no third with 3e-4; this counts only under keys that are so common) and parts those
+that have little but the passage in common. Pairs whose set sizes alone rule out the similarity are skipped.
+Shingle sets are made for candidates only.
 
 Defined results: words and lower-casing as for fingerprints; a text of fewer than five words is one
 shingle; texts without words are one node. Repeated rows are members of the same component. Empty tables
@@ -40,6 +45,10 @@ MAX_BITS = 4
 ROWS, BANDS = 4, 25
 #: Pairs of one node that are verified by one task.
 PAIRS = 256
+#: Nodes under a key that are compared pair by pair, and times that larger groups are dealt by a further key.
+GROUP, DEEPER = 4096, 2
+#: Rounds of centres; they end with fewer pairs left per node under a key, or a smaller share of links in the pairs of a round.
+ROUNDS, LEFT, YIELD = 5, 4, 0.05
 _RNG = np.random.default_rng(5)
 _TURN = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64)
@@ -121,11 +130,11 @@ def _fit(n: Column | str, m: Column | str) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets have a similarity of 0.8 or more."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
-    first = signed.join(sendable(wanted), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "row")).alias("r"))
-    sets = stored(_sets(docs, stored(first.select("r.id", "r.row"), "near-rows"), id_col, text_col), "near-sets")
+    rows = stored(nodes.join(sendable(wanted), "node", "left_semi").select("r.id", "r.row"), "near-rows")
+    sets = stored(_sets(docs, rows, id_col, text_col), "near-sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
     parts = stored(parts, "near-parts")
     left = sets.withColumnsRenamed({"node": "a", "hashes": "ha"}).join(sendable(parts), "a")
@@ -136,9 +145,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, id_col: str,
     return both.withColumn("shared", shared).where("5 * shared >= 4 * (size(ha) + size(hb) - shared)").select("a", "b")
 
 
-def _by_fingerprint(signed: DataFrame) -> DataFrame:
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b): nodes of the same fingerprint, and the first nodes of fingerprints that link."""
-    nodes = signed.select("fp", "node", "n").distinct()
     first = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f"), F.count(F.lit(1)).alias("nodes")), "near-prints")
     first = first.select("fp", F.col("f.node").alias("first"), F.col("f.n").alias("m"), "nodes")
     same = nodes.join(sendable(first.where("nodes > 1")), "fp").where("node <> first")
@@ -149,26 +157,62 @@ def _by_fingerprint(signed: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
 
 
+def _open(named: DataFrame) -> DataFrame:
+    """group, large: groups of more than one component."""
+    parts = named.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("nodes"))
+    return stored(parts.where("x <> y").select("group", (F.col("nodes") > GROUP).alias("large")), "near-open")
+
+
+def _across(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components under ``named(group, node, n, label)``, a group being a set of keys."""
+    keys = nodes.select("node", "keys")
+    out = None
+    for depth in range(DEEPER + 1):
+        named = stored(named.join(sendable(_open(named)), "group"), "near-named")
+        small = named if depth == DEEPER else named.where("NOT large")
+        x, y = small.select("group", F.col("node").alias("a"), "n", F.col("label").alias("x")), small.select("group", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))
+        found = x.join(y, "group").where("a < b AND x <> y").where(_fit("n", "m")).select("a", "b")
+        out = found if out is None else out.unionByName(found)
+        if depth == DEEPER or not named.where("large").limit(1).count():
+            break
+        each = F.explode(F.array_except("keys", "group"))
+        named = named.where("large").drop("large").join(keys, "node").select("group", "node", "n", "label", each.alias("key"))
+        named = named.select(F.array_sort(F.array_append("group", F.col("key"))).alias("group"), "node", "n", "label").distinct()
+    return out.distinct()
+
+
+def _pairs_left(named: DataFrame) -> float:
+    """Pairs across components under the keys of ``named(key, node, label)``, per row."""
+    each = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = each.groupBy("key").agg(F.sum("c").alias("nodes"), F.sum(F.col("c").cast("double") * F.col("c")).alias("inside"))
+    rows, pairs = per.agg(F.sum("nodes"), F.sum((F.col("nodes").cast("double") * F.col("nodes") - F.col("inside")) / 2)).first()
+    return pairs / rows if rows else 0.0
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row (hash of the text), component per row."""
     signed = stored(signatures(docs, id_col, text_col), "near-signatures")
-    keyed = signed.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    shared = stored(shared, "near-keys")
-    members = stored(keyed.join(sendable(shared), "key").select("key", "node", "n", "a").distinct(), "near-members")
-    sizes = members.where("node = a").select("key", F.col("n").alias("m"))
-    pairs = members.where("node <> a").join(sendable(sizes), "key").where(_fit("n", "m")).select("a", F.col("node").alias("b"))
-    pairs = stored(pairs.unionByName(_by_fingerprint(signed)).distinct(), "near-pairs")
-    good = stored(_verified(pairs, docs, signed, id_col, text_col), "near-links")
-    labels = stored(components(good), "near-labels")
-    # keys under which the links so far leave more than one component
-    named = members.join(sendable(labels), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    named = stored(named.join(sendable(stored(open_, "near-open")), "key"), "near-named")
-    x, y = named.toDF("key", "a", "n", "x"), named.toDF("key", "b", "m", "y")
-    more = x.join(y, "key").where("a < b AND x <> y").where(_fit("n", "m")).select("a", "b").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs-across")
+    one = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    nodes = stored(signed.groupBy("node").agg(F.min(F.struct("id", "row")).alias("r"), *one), "near-nodes")
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "near-keys")
+    members = stored(keyed.join(sendable(shared), "key").distinct(), "near-members")
+    named, tried, good, labels = members.withColumn("label", F.col("node")), None, None, None
+    for turn in range(ROUNDS):
+        centre = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("c")
+        centres = stored(named.groupBy("key").agg(centre).select("key", F.col("c.node").alias("c"), F.col("c.n").alias("m"), F.col("c.label").alias("own")), "near-centres")
+        pairs = named.join(sendable(centres), "key").where("label <> own").where(_fit("n", "m")).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti") if tried else pairs.unionByName(_by_fingerprint(nodes)).distinct()
+        pairs = stored(pairs, "near-pairs")
+        linked = stored(_verified(pairs, docs, nodes, id_col, text_col), "near-links")
+        tried, good = (tried.unionByName(pairs), good.unionByName(linked)) if tried else (pairs, linked)
+        labels = stored(components(good), "near-labels")
+        named = stored(members.join(sendable(labels), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "near-named")
+        if linked.count() < YIELD * pairs.count() or _pairs_left(named) <= LEFT:
+            break
+    more = _across(named.select(F.array("key").alias("group"), "node", "n", "label"), nodes)
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "near-pairs-across")
     if more.limit(1).count():
-        good = good.unionByName(stored(_verified(more, docs, signed, id_col, text_col), "near-links-across"))
+        good = good.unionByName(stored(_verified(more, docs, nodes, id_col, text_col), "near-links-across"))
         labels = stored(components(good), "near-labels")
     return signed.join(sendable(labels), "node", "left").select("id", "row", F.coalesce("label", "node").alias("component"))
