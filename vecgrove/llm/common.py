@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,18 @@ from vecgrove.sources.shared import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: What this worker keeps between tasks of one operator.
+_KEPT: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any] = lambda: None) -> Any:
+    """Made once per worker. Workers are reused by other operators, whose first task drops it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 _LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 

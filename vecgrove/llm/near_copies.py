@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import lower_bytes, row_hash, sendable, stored
+from vecgrove.llm.common import kept, lower_bytes, row_hash, sendable, stored
 from vecgrove.llm.simhash import components, links, majority
 
 WORDS = 5
@@ -84,6 +84,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, row (hash of the text), node, n (shingles), fp (fingerprint), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near copies")
         for b in batches:
             nodes, sizes, prints, found = [], [], [], []
             for t in b.column(2):
@@ -113,6 +114,7 @@ def _sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataF
     """node, hashes of ``rows(id, row)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near copies")
         for b in batches:
             for t in b.column(0):
                 node, h = shingles(t.as_py())

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import lower_bytes, sendable, stored, table
+from vecgrove.llm.common import kept, lower_bytes, sendable, stored, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -115,12 +114,6 @@ class Ids:
         return out if end_id is None else out + int(end_id).to_bytes(4, "little")
 
 
-@cache
-def ids_of(path: str | None) -> Ids:
-    """One per worker, so that what it remembers outlives a task."""
-    return Ids(path)
-
-
 class Capacities:
     """Segment tree over remaining capacities 0..size-1: how many open sequences have each."""
 
@@ -183,7 +176,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     schema = _PIECE + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = ids_of(tokenizer)
+        tokens_of = kept(f"packing {tokenizer}", lambda: Ids(tokenizer))  # what it remembers outlives a task
         for b in batches:
             rows: list[list] = [[] for _ in schema.split(",")]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

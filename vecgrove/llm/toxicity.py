@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import fold, hash_sample, table
+from vecgrove.llm.common import fold, hash_sample, kept, table
 
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(picked), "id").select("id", "text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hasher(bits)
+        hashed = kept(f"toxicity {bits}", lambda: Hasher(bits))
         for b in batches:
             x = [np.unique(hashed(t.as_py())).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array(x, pa.binary())], ["id", "label", "x"])
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scorer(sent: Broadcast) -> Callable[[pa.Array], np.ndarray]:
     own = Model(*sent.value)
-    w, hashed = own.dense(), Hasher(own.bits)
+    w, hashed = own.dense(), kept(f"toxicity {own.bits}", lambda: Hasher(own.bits))
 
     def run(texts: pa.Array) -> np.ndarray:
         out = np.empty(len(texts))
