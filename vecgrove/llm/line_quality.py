@@ -3,10 +3,15 @@ r"""Quality rules by line labelling with a linear-chain conditional random field
 Each line with a word is described by binned features (length, symbols, capitals, repeated words,
 punctuation, repetition of an earlier line). A two-label CRF - content or boilerplate - with a weight
 per feature and label and a weight per label pair is trained by stochastic gradient ascent on the
-log-likelihood (forward-backward). Its training lines come from labelled documents: at most
-``max_train`` of them, picked by hash of the id (a documented bound), of at most ``MAX_TRAIN_LINES``
-lines; lines of good documents stand for content, lines of poor ones for boilerplate. Every
-document is then decoded whole (Viterbi), and the share of its words in content lines decides.
+log-likelihood (forward-backward). Every document is then decoded whole (Viterbi), and the share of its
+words in content lines decides.
+
+Labels are given by document, so lines with known labels are made: lines of good documents stand for
+content, lines of poor ones for boilerplate, and ``SPLICED`` of the training sequences get a seeded run of
+lines of a document of the other label at their start, their end or within. So the chain learns to change
+its label inside a document. Training documents are labelled ones outside the held-out fold (crc32 of the
+id mod 4), at most ``max_train`` of them, picked by hash of the id, each with at most ``max_lines`` lines in
+a row from a seeded place (documented bounds).
 
 Words are ``[^\x20\x09-\x0D]+``. Base figures: word_chars (code points in words), n_symbols
 (characters of ``[#*$%&|<>]``), n_dup_lines (lines split at \n that have a word and equal an earlier
@@ -22,16 +27,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import hash_sample, table
+from vecgrove.llm.common import fold, hash_sample, table
 
 MIN_WORDS, MAX_REPEAT, MIN_CONTENT = 50, 0.5, 0.5
-MAX_TRAIN_LINES = 400
+#: Fold of the ids that training leaves out, share of training sequences with lines of another document, most lines of those.
+HELD_OUT, SPLICED, RUN = 2, 0.5, 8
 _SYMBOLS = b"#*$%&|<>"
 _OTHER = bytes(set(range(256)) - set(_SYMBOLS))
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -159,16 +166,33 @@ def gradient(scores: np.ndarray, step: np.ndarray, y: np.ndarray) -> tuple[np.nd
     return own, pair
 
 
-def train_crf(samples: list[tuple[np.ndarray, int]], epochs: int = 6, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights (features, 2) and pair weights (2, 2) from (line features, label of all lines)."""
+def spliced(samples: list[tuple[np.ndarray, int]], share: float = SPLICED, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences with a label per line, from (line features, label of the document)."""
+    rng = np.random.default_rng(seed)
+    by = {label: [x for x, y in samples if y == label] for label in (0, 1)}
+    out = []
+    for x, y in samples:
+        others = by[1 - y]
+        if rng.random() >= share or not others:
+            out.append((x, np.full(len(x), y)))
+            continue
+        other = others[rng.integers(len(others))]
+        n = int(rng.integers(1, min(len(other), RUN) + 1))
+        start = int(rng.integers(len(other) - n + 1))
+        at = (0, len(x), int(rng.integers(len(x) + 1)))[rng.integers(3)]
+        out.append((np.concatenate((x[:at], other[start : start + n], x[at:])), np.repeat([y, 1 - y, y], [at, n, len(x) - at])))
+    return out
+
+
+def train_crf(samples: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Emission weights (features, 2) and pair weights (2, 2) from (line features, line labels)."""
     w, step = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    good = sum(y for _, y in samples)
-    if not samples or good in (0, len(samples)):
+    if len({int(k) for _, y in samples for k in (y.min(), y.max())}) < 2:
         return w, step
     for epoch in range(epochs):
         r = rate / (1 + epoch)
         for x, y in samples:
-            own, pair = gradient(w[x].sum(1), step, np.full(len(x), y))
+            own, pair = gradient(w[x].sum(1), step, y)
             k = r / len(x)
             np.add.at(w, x.ravel(), np.repeat(k * own, x.shape[1], axis=0))
             step += k * pair
@@ -176,10 +200,19 @@ def train_crf(samples: list[tuple[np.ndarray, int]], epochs: int = 6, rate: floa
     return w, step
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    max_train: int = 3000,
+    max_lines: int = 400,
+) -> tuple[np.ndarray, np.ndarray]:
     picked = (
         labels.select(labels[id_col].alias("id"), labels[label_col].alias("label"))
         .where("id IS NOT NULL AND label IS NOT NULL")
+        .where(fold(F.col("id")) != HELD_OUT)
         .groupBy("id")
         .agg((F.min("label") > 0).cast("int").alias("label"))
     )
@@ -189,16 +222,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.select(["id", "label", "text"])
-            x = [describe(t.as_py())[1] for t in b.column(2)]
-            kept = [i for i, k in enumerate(x) if 0 < len(k) <= MAX_TRAIN_LINES]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(kept)).cast(pa.int64()), b.column(1).take(pa.array(kept)).cast(pa.int32()), pa.array([x[i].astype(np.int8).tobytes() for i in kept], pa.binary())],
-                ["id", "label", "x"],
-            )
+            rows = []
+            for i, label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                x = describe(t.as_py())[1]
+                start = crc32(b"%d" % i) % max(1, len(x) - max_lines + 1)
+                if len(x):
+                    rows.append((i, label, x[start : start + max_lines].astype(np.int8).tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "label", "x"])
 
     rows = texts.mapInArrow(run, "id bigint, label int, x binary").distinct().collect()  # max_train rows at most, a few bytes a line
-    rows.sort(key=lambda r: (hash((r["id"] * 2654435761) % (1 << 32)), r["id"], r["x"]))
-    return train_crf([(np.frombuffer(r["x"], np.int8).astype(np.int64).reshape(-1, len(_BINS)), r["label"]) for r in rows])
+    rows.sort(key=lambda r: (crc32(b"%d" % r["id"]), r["id"], r["x"]))
+    return train_crf(spliced([(np.frombuffer(r["x"], np.int8).astype(np.int64).reshape(-1, len(_BINS)), r["label"]) for r in rows]))
 
 
 _SCHEMA = (
