@@ -6,7 +6,8 @@ Expectation-maximisation over the counts of vote patterns (at most 4^8 of them,
 documents) estimates how each labeller votes on good and on poor documents, and so the posterior of
 each pattern. A hashed linear scorer is then trained on posteriors as soft labels, from at most
 ``max_train`` documents picked by hash of the id (a documented bound), and scores every document from
-features the labellers do not use directly: shares of word shapes and of shape pairs.
+features the labellers do not use directly: shares of word shapes, of their last characters and of shape
+pairs, each binned by powers of two. Shares under ``MIN_SHARE`` are no features.
 
 Texts are read once: votes and hashed features go to a compact table in the shared folder.
 
@@ -32,6 +33,8 @@ from vecgrove.llm.common import hash_sample, stored, table
 GOOD, POOR, ABSTAIN, MISSING = "+", "-", "0", "?"
 BITS = 16
 KEEP = 0.5
+#: Least share of a text's words that makes a feature.
+MIN_SHARE = 0.004
 _SHAPE = bytes(
     ord("X") if 65 <= i <= 90 else ord("x") if 97 <= i <= 122 or i >= 128 else ord("0") if 48 <= i <= 57 else i for i in range(256)
 )
@@ -101,7 +104,7 @@ def features(shapes: list[bytes]) -> list[int]:
     for tag, counts in ((b"w", Counter(shapes)), (b"p", Counter(zip(shapes, shapes[1:], strict=False))), (b"e", ends)):
         for key, c in counts.items():
             share = c / n
-            if share >= 0.004:
+            if share >= MIN_SHARE:
                 level = int(-np.log2(share)) if share < 1 else 0
                 k = b" ".join(key) if isinstance(key, tuple) else key
                 out.add(crc32(tag + k + b":%d" % level) % (1 << BITS))
