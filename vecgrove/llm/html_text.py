@@ -4,11 +4,16 @@ A tokenizer feeds a tree builder that knows implied tags (an open paragraph ends
 item at the next item, a cell at the next cell or row, and so on). The tree is then rendered: elements
 that a browser does not display (by tag, ``hidden`` or inline style) give nothing; all other text is
 emitted in order, with white space collapsed as in layout, a line per block, a blank line around
-paragraphs, headings, lists and tables, list markers with indentation, preformatted text as it is, and
-table cells padded to the width of their column.
+paragraphs, headings, lists and tables, list markers with indentation (of ``MAX_INDENT`` levels at most),
+preformatted text as it is, options of a choice a line each.
+
+Tables are laid out on a grid: cells keep the lines of what is in them, stand side by side, take as many
+columns and rows as they span, and are padded to the width of their column. A column is as wide as its
+widest cell, but no wider than ``WIDE`` times its cells' average plus ``ROOM``, so that the padding stays
+in proportion to the text; wider cells are emitted whole and push the rest of their line.
 
 Both passes keep their own stacks, so deep nesting does not exhaust the interpreter's. Time and memory
-are linear in the page, but for the padding of cells, which stops at ``CELL`` columns of text.
+are linear in the page, but for tables with many cells of different ``rowspan`` beside each other.
 
 Defined results: null or empty html gives the empty text; unclosed and stray tags are repaired, never
 an error. Repeated rows get the same text. Empty tables give no rows. Other columns are ignored.
@@ -25,14 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecgrove.llm.common import table
 
-#: Cells wider than this are emitted whole but do not widen their column.
-CELL = 40
-_MAX_INDENT = 20
+#: Most width of a column, against the average of its cells.
+WIDE, ROOM = 16, 64
+MAX_INDENT = 20
+#: What cells may span at most, as in browsers.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _UNSEEN = frozenset(
-    "head script style template title noscript iframe noembed noframes object audio video canvas datalist select option optgroup textarea input meta link base area param source track".split()
+    "head script style template title noscript iframe noembed noframes object audio video canvas datalist input meta link base area param source track annotation annotation-xml desc metadata defs".split()
 )
 _WIDE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu dir".split())  # a blank line around
 _BLOCK = _WIDE | frozenset(
@@ -67,26 +74,14 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
+#: The rest of a tag; only a value's quotes, after an equals sign, shield what is in them.
+_TAG_REST = re.compile(r"""(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>""")
+
+
 def _tag_end(html: str, at: int) -> int:
     """Index of the ``>`` that ends a tag, outside quotes; without one, of the first plain ``>`` or -1."""
-    first, i = html.find(">", at), at
-    if first < 0:
-        return -1
-    while True:
-        quotes = [q for q in (html.find('"', i, first), html.find("'", i, first)) if q >= 0]
-        if not quotes:
-            return first
-        q = min(quotes)
-        close = html.find(html[q], q + 1)
-        # only a value's quote, after an equals sign, shields what is in it
-        if close < 0 or html[:q][-40:].rstrip()[-1:] != "=":
-            i = q + 1
-            continue
-        i = close + 1
-        if i > first:
-            first = html.find(">", i)
-            if first < 0:
-                return html.find(">", at)
+    m = _TAG_REST.match(html, at)
+    return m.end() - 1 if m else html.find(">", at)
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -132,7 +127,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             found = _RAW_END[tag].search(html, at)
             stop = found.start() if found else n
             if stop > at:
-                yield "text", html[at:stop], {}
+                yield "text", unescape(html[at:stop]) if tag in ("textarea", "title") else html[at:stop], {}
             at = stop
 
 
@@ -212,7 +207,7 @@ class Out:
         if self.gap or not self.parts:
             if self.parts:
                 self.parts.append("\n" * self.gap)
-            lead = " " * (2 * min(self.indent, _MAX_INDENT))
+            lead = " " * (2 * min(self.indent, MAX_INDENT))
             if self.marker:
                 lead = lead[: max(0, len(lead) - 2)] + self.marker
             self.parts.append(lead)
@@ -248,29 +243,62 @@ def _seen(node: Node) -> bool:
     return not _HIDING.search(node.attrs.get("style", ""))
 
 
-def _span(attrs: dict[str, str]) -> int:
-    v = attrs.get("colspan", "1").strip()
-    return max(1, min(int(v), 100)) if v.isascii() and v.isdigit() and len(v) < 5 else 1
+def _span(attrs: dict[str, str], name: str, most: int) -> int:
+    v = attrs.get(name, "1").strip()
+    return max(1, min(int(v), most)) if v.isascii() and v.isdigit() and len(v) < 7 else 1
 
 
-def _table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, columns spanned) with cells padded to their column's width."""
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1 and len(text) <= CELL:
-                width[at] = max(width.get(at, 0), len(text))
-            at += span
-    lines = []
-    for row in rows:
-        at, parts = 0, []
-        for text, span in row:
-            room = sum(width.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-            parts.append(text.ljust(room))
-            at += span
-        lines.append("  ".join(parts).rstrip())
-    return lines
+#: A cell: its lines, columns and rows spanned.
+Cell = tuple[list[str], int, int]
+
+
+def _grid(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """The column in which each cell starts, past the columns that cells of earlier rows still take."""
+    held: list[tuple[int, int, int]] = []  # columns from, to, taken before this row
+    out = []
+    for y, row in enumerate(rows):
+        held = [h for h in held if h[2] > y]
+        at, i, placed, new = 0, 0, [], []
+        for cell in row:
+            while i < len(held) and held[i][0] < at + 1:
+                at = max(at, held[i][1])
+                i += 1
+            placed.append((at, cell))
+            if cell[2] > 1:
+                if new and new[-1][1:] == (at, y + cell[2]):
+                    new[-1] = (new[-1][0], at + cell[1], y + cell[2])
+                else:
+                    new.append((at, at + cell[1], y + cell[2]))
+            at += cell[1]
+        held = sorted(held + new) if new else held
+        out.append(placed)
+    return out
+
+
+def _table_lines(rows: list[list[Cell]]) -> list[str]:
+    """Rows of cells side by side, each column padded to its width."""
+    grid = _grid(rows)
+    widths: dict[int, list[int]] = {}
+    for row in grid:
+        for at, (lines, columns, _) in row:
+            own = widths.setdefault(at, [])
+            if columns == 1:
+                own.append(max(map(len, lines), default=0))
+    start, offset = {}, 0
+    for at in sorted(widths):
+        own, start[at] = widths[at], offset
+        offset += 2 + (min(max(own), WIDE * sum(own) // len(own) + ROOM) if own else 0)
+    out = []
+    for row in grid:
+        for y in range(max((len(cell[0]) for _, cell in row), default=0)):
+            parts, length = [], 0
+            for at, (lines, _, _) in row:
+                if y < len(lines) and lines[y]:
+                    pad = max(start[at] - length, 2 if length else 0)
+                    parts += [" " * pad, lines[y]]
+                    length += pad + len(lines[y])
+            out.append("".join(parts))
+    return out
 
 
 def render(root: Node) -> str:
@@ -278,7 +306,7 @@ def render(root: Node) -> str:
     out, pre, visible = page, 0, [True]
     lists: list[list] = []  # [ordered, next number]
     flows: list[Out] = []  # what a cell's flow interrupts
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[Cell]]] = []
     todo: list[tuple[str, Node | str]] = [("open", root)]
     while todo:
         step, x = todo.pop()
@@ -331,15 +359,18 @@ def render(root: Node) -> str:
             continue
         visible.pop()
         if tag in ("td", "th") and tables and flows:
-            text = " ".join(out.done().split("\n")) if not pre else out.done()
+            text = out.done()
             out = flows.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((_SPACES.sub(" ", text).strip(" "), _span(x.attrs)))
+            tables[-1][-1].append((text.split("\n") if text else [], _span(x.attrs, "colspan", MAX_COLUMNS), _span(x.attrs, "rowspan", MAX_ROWS)))
         elif tag == "table":
-            for line in _table_lines([r for r in tables.pop() if any(t for t, _ in r)]):
-                out.block(1)
-                out.raw(line)
+            for line in _table_lines(tables.pop()):
+                if line:
+                    out.block(1)
+                    out.raw(line)
+                else:  # between blocks of a cell
+                    out.gap = 2 if out.parts else 0
         elif tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
             out.indent = max(0, out.indent - 1)
