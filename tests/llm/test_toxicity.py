@@ -85,3 +85,26 @@ def test_edges(spark, edge_docs, edge_rows, empty_docs):
     assert toxicity(empty_docs, labels).count() == 0
     none = toxicity(edge_docs, labels.limit(0)).collect()
     assert len(none) == len(edge_rows) and not any(r["predicted"] for r in none)
+
+
+def test_training_is_bounded_in_bytes(spark):
+    """Rows that do not fit are left out; the others are learnt from as ever."""
+    rows = [(i, "bad word here" if i % 2 else "good word there", i % 2) for i in range(60)]
+    big = " ".join(f"w{i}" for i in range(50_000))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, big) for i in range(4)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1000 + i, 1) for i in range(4)], "doc_id bigint, toxic int")
+    only = fit(docs.where("doc_id < 1000"), labels)
+    small = fit(docs, labels, max_bytes=100_000)
+    assert (small.bias, small.index.tolist(), small.weight.tolist()) == (only.bias, only.index.tolist(), only.weight.tolist())
+    assert fit(docs, labels).bias != only.bias
+    assert fit(docs, labels, max_bytes=0).bias == fit(docs.limit(0), labels).bias
+
+
+def test_choice_never_sees_the_held_out_fold(sf):
+    from vecgrove.llm import toxicity_choice as choice
+
+    rows = choice.load(sf)
+    assert rows and {f for f, _, _ in rows} <= set(choice.FOLDS) and choice.HELD_OUT not in choice.FOLDS
+    planted = [(f, np.array([1, 7] if y else [2, 7], np.int32), y) for f in choice.FOLDS for y in (0, 1) for _ in range(40)]
+    f1, loss = choice.trial(planted, dict(alpha=1.0, l1=0.1, l2=0.5, epochs=2))
+    assert f1 == 1 and loss < 0.2

@@ -7,8 +7,9 @@ L1 term is overcome. The sparse weights are small and travel with the scoring fu
 
 Training rows: labelled rows outside the held-out fold, at most ``max_train`` of them, taken by hash
 of the id (a documented bound; at most ``max_train`` ids are broadcast to pick the texts). Features
-are made on all executors; one task runs the sequential learner over them. Every document is scored
-from its whole text.
+are made on all executors; one task runs the sequential learner over them, in the order of the hash, and
+holds ``max_bytes`` of features at most: a row that does not fit any more is left out (a second documented
+bound, met by very long texts only). Every document is scored from its whole text.
 
 Defined results: null or empty text has only the bias. Labels without a document, or null labels, are
 ignored; several labels of a document count as toxic if one says so. Without any training row every
@@ -23,7 +24,6 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -116,7 +116,7 @@ def train_ftrl(
     return Model(bits, float(bias), index.astype(np.int32), w[index].astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 22, max_train: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 22, max_train: int = 12_000, max_bytes: int = 256 << 20) -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold."""
     picked = (
         labels.select(labels[id_col].alias("id"), labels[label_col].alias("label"))
@@ -134,18 +134,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = [np.unique(hashed(t.as_py())).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array(x, pa.binary())], ["id", "label", "x"])
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        # a fixed order that mixes the labels; repeated rows are one row
-        pdf = pdf.drop_duplicates(["id", "x"])
-        order = sorted(range(len(pdf)), key=lambda i: (crc32(str(pdf["id"].iloc[i]).encode()), pdf["x"].iloc[i]))
-        xs, ys = pdf["x"].to_list(), pdf["label"].to_numpy()
-        model = train_ftrl([(np.frombuffer(xs[i], np.int32), int(ys[i])) for i in order], bits)
-        return pd.DataFrame({"bias": [model.bias], "at": [model.index.tobytes()], "w": [model.weight.tobytes()], "rows": [len(pdf)]})
-
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last, size = [], None, 0
+        for b in batches:
+            for i, label, x in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), strict=True):
+                x = x.as_py()
+                if (i, x) != last and size + len(x) <= max_bytes:  # repeated rows are one row
+                    rows.append((np.frombuffer(x, np.int32), label))
+                    size += len(x)
+                last = (i, x)
+        if rows:
+            model = train_ftrl(rows, bits)
+            columns = ([model.bias], [model.index.tobytes()], [model.weight.tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.binary(), pa.binary()), strict=True)], ["bias", "at", "w"])
+
+    # a fixed order that mixes the labels
+    order = (F.crc32(F.col("id").cast("string")), "id", "x")
     made = (
         texts.mapInArrow(features, "id bigint, label int, x binary")
-        .groupBy(F.lit(0).alias("all"))
-        .applyInPandas(learn, "bias double, at binary, w binary, rows bigint")
+        .repartition(1)
+        .sortWithinPartitions(*order)
+        .mapInArrow(learn, "bias double, at binary, w binary")
         .collect()
     )
     if not made:
