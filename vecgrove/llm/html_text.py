@@ -28,7 +28,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from vecgrove.llm.common import table
+from vecgrove.llm.common import batched, table
 
 #: Most width of a column, against the average of its cells.
 WIDE, ROOM = 16, 64
@@ -402,7 +402,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             )
 
     picked = pages.select(pages[id_col].cast("bigint").alias("id"), pages[html_col].alias("html"))
-    return picked.mapInArrow(run, "id bigint, text string, n_chars bigint, n_lines bigint")
+    return batched(picked).mapInArrow(run, "id bigint, text string, n_chars bigint, n_lines bigint")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

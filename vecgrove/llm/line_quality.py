@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import fold, hash_sample, table
+from vecgrove.llm.common import batched, fold, hash_sample, table
 
 MIN_WORDS, MAX_REPEAT, MIN_CONTENT = 50, 0.5, 0.5
 #: Fold of the ids that training leaves out, share of training sequences with lines of another document, most lines of those.
@@ -231,7 +231,7 @@ def fit(
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "label", "x"])
 
-    rows = texts.mapInArrow(run, "id bigint, label int, x binary").distinct().collect()  # max_train rows at most, a few bytes a line
+    rows = batched(texts).mapInArrow(run, "id bigint, label int, x binary").distinct().collect()  # max_train rows at most, a few bytes a line
     rows.sort(key=lambda r: (crc32(b"%d" % r["id"]), r["id"], r["x"]))
     return train_crf(spliced([(np.frombuffer(r["x"], np.int8).astype(np.int64).reshape(-1, len(_BINS)), r["label"]) for r in rows]))
 
@@ -261,7 +261,7 @@ def judge(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str =
                 [b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in _SCHEMA.split(", ")]
             )
 
-    return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("binary").alias("text")).mapInArrow(run, _SCHEMA)
+    return batched(docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("binary").alias("text"))).mapInArrow(run, _SCHEMA)
 
 
 def line_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import kept, lower_bytes, row_hash, sendable, stored
+from vecgrove.llm.common import batched, kept, lower_bytes, row_hash, sendable, stored
 from vecgrove.llm.simhash import components, links, majority
 
 WORDS = 5
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), row_hash(docs[text_col]).alias("row"), docs[text_col].cast("binary").alias("text"))
-    return picked.mapInArrow(run, "id bigint, row bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
+    return batched(picked).mapInArrow(run, "id bigint, row bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataF
     wanted = sendable(rows.toDF("_vg_id", "_vg_row"))
     same = docs[id_col].cast("bigint").eqNullSafe(F.col("_vg_id")) & (row_hash(docs[text_col]) == F.col("_vg_row"))
     texts = docs.join(wanted, same, "left_semi").select(docs[text_col].cast("binary").alias("text"))
-    return texts.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
+    return batched(texts).mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
 
 def _fit(n: Column | str, m: Column | str) -> Column:

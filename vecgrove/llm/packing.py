@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import kept, lower_bytes, sendable, stored, table
+from vecgrove.llm.common import batched, kept, lower_bytes, sendable, stored, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -190,7 +190,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(c, pa.list_(pa.int64())) for c in rows[5:]]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("binary").alias("text")).mapInArrow(run, schema)
+    return batched(docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("binary").alias("text"))).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

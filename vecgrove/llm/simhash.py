@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import hash_sample, join_counted, lower_bytes, sendable, stored, table
+from vecgrove.llm.common import batched, hash_sample, join_counted, lower_bytes, sendable, stored, table
 
 #: Distinct fingerprints that steer masks; the result does not depend on it.
 SAMPLE = 16_384
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("binary").alias("text"))
-    return picked.mapInArrow(run, "id bigint, fp bigint")
+    return batched(picked).mapInArrow(run, "id bigint, fp bigint")
 
 
 # -- masks ------------------------------------------------------------------------------------

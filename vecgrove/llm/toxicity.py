@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import fold, hash_sample, kept, table
+from vecgrove.llm.common import batched, fold, hash_sample, kept, table
 
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a fixed order that mixes the labels
     order = (F.crc32(F.col("id").cast("string")), "id", "x")
     made = (
-        texts.mapInArrow(features, "id bigint, label int, x binary")
+        batched(texts).mapInArrow(features, "id bigint, label int, x binary")
         .repartition(1)
         .sortWithinPartitions(*order)
         .mapInArrow(learn, "bias double, at binary, w binary")
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], ["id", "score"])
 
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "id bigint, score double")
+    return batched(picked).mapInArrow(run, "id bigint, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -202,7 +202,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import hash_sample, stored, table
+from vecgrove.llm.common import batched, hash_sample, stored, table
 
 #: MISSING: the text is too short for the labeller to tell; it then says nothing, unlike an abstention.
 GOOD, POOR, ABSTAIN, MISSING = "+", "-", "0", "?"
@@ -125,7 +125,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signs, pa.string()), pa.array(xs, pa.binary())], ["id", "votes", "x"])
 
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("binary").alias("text"))
-    return picked.mapInArrow(run, "id bigint, votes string, x binary")
+    return batched(picked).mapInArrow(run, "id bigint, votes string, x binary")
 
 
 def em(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np.ndarray]:
