@@ -68,6 +68,69 @@ def test_queries_in_several_parts(spark, monkeypatch):
     q, qs = random_vectors(spark, 30, 4, 4)
     monkeypatch.setattr(N, "MAX_QUERY_BYTES", 700)
     assert {tuple(r) for r in N.exact_knn(db, qs.withColumnRenamed("id", "qid"), 4).collect()} == brute_knn(x, q, 4)
+    assert {tuple(r) for r in N.exact_knn_columns(db, qs.withColumnRenamed("id", "qid"), 4).collect()} == brute_knn(x, q, 4)
+
+
+@pytest.mark.parametrize(("points", "visits", "kept"), [(1 << 16, 1 << 13, 2_000_000), (20, 7, 2_000_000), (20, 7, 15)])
+def test_strategies_agree(spark, monkeypatch, points, visits, kept):
+    """Both sides dealt in pieces of any size, lists handed on early: the same rows as with the queries sent."""
+    x, db = random_vectors(spark, 400, 3, 8)
+    q, qs = random_vectors(spark, 50, 3, 9)
+    qs = qs.withColumnRenamed("id", "qid")
+    index = build_tree(sample_leaders(db, 12), 1)
+    clustered = A.database(db, index)
+    want = {tuple(r) for r in N.approx_knn(clustered, qs, index, 4, 6, strategy="broadcast").collect()}
+    wide = {tuple(r) for r in N.approx_knn(clustered, qs, index, 4, 6, limit=20, strategy="broadcast").collect()}
+    monkeypatch.setattr(N, "POINTS", points)
+    monkeypatch.setattr(N, "VISITS", visits)
+    monkeypatch.setattr(N, "MAX_KEPT", kept)
+    for way in ("broadcast", "shuffle"):
+        assert {tuple(r) for r in N.approx_knn(clustered, qs, index, 4, 6, strategy=way).collect()} == want
+        assert {tuple(r) for r in N.approx_knn(clustered, qs, index, 4, 6, limit=20, strategy=way).collect()} == wide
+        assert {tuple(r) for r in N.exact_knn(db, qs, 9, strategy=way).collect()} == brute_knn(x, q, 9)
+        twice = db.unionByName(db).unionByName(db.where("id < 30"))
+        assert {tuple(r) for r in N.exact_knn(twice, qs, 9, dedup=True, strategy=way).collect()} == brute_knn(x, q, 9)
+    assert N.exact_knn(db.limit(0), qs, 3, strategy="shuffle").count() == N.exact_knn(db, qs.limit(0), 3).count() == 0
+    with pytest.raises(ValueError):
+        N.exact_knn(db, qs, 3, strategy="no")
+
+
+def test_batches_are_a_column(spark):
+    _, db = random_vectors(spark, 200, 3, 8)
+    q = db.limit(40).withColumnRenamed("id", "qid")
+    index = build_tree(sample_leaders(db, 12), 1)
+    clustered = A.database(db, index)
+    out = N.batched_knn(clustered, q, index, 3, 4, 10)
+    assert sorted(map(tuple, out.drop("batch").collect())) == sorted(map(tuple, N.approx_knn(clustered, q, index, 3, 4).collect()))
+    assert {r["batch"] for r in out.collect()} == {0, 1, 2, 3}
+    assert out.select("qid", "batch").distinct().count() == q.select("qid").distinct().count()
+
+
+def test_one_id_of_many_copies(spark):
+    """An id with far more copies than k still counts once, and others get their places."""
+    db = spark.createDataFrame([(7, [0, 0])] * 3000 + [(i, [i, 0]) for i in range(20, 30)], "id bigint, vec array<int>")
+    q = spark.createDataFrame([(1, [0, 0])], "qid bigint, vec array<int>")
+    assert [r["id"] for r in N.exact_knn(db, q, 4, dedup=True).orderBy("rank").collect()] == [7, 20, 21, 22]
+
+
+def test_sample_of_leaders(spark):
+    import hashlib
+
+    v = spark.range(3000).selectExpr("id", "array(int(id)) AS vec")
+    for n in (1, 40, 900, 2999, 5000):
+        got = [(r["leader_id"], r["id"]) for r in sample_leaders(v, n).orderBy("leader_id").collect()]
+        want = sorted(range(3000), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[:n]
+        assert got == list(enumerate(want))
+
+
+def test_index_of_wide_values_and_bytes_agree(spark):
+    """Vectors of signed bytes are kept as bytes; larger values as they are."""
+    x, db = random_vectors(spark, 300, 4, 3, -128, 128)
+    big = db.selectExpr("id", "transform(vec, v -> v * 1000) AS vec")
+    a, b = build_tree(sample_leaders(db, 20), 2), build_tree(sample_leaders(big, 20), 2)
+    assert a.edges.exceptAll(b.edges).count() == 0
+    one = descend(db, a.leaders, a.edges, 2, 2).selectExpr("id", "rank", "cluster_id", "cluster_dist * 1000000 AS d")
+    assert sorted(one.collect()) == sorted(descend(big, b.leaders, b.edges, 2, 2).selectExpr("id", "rank", "cluster_id", "cluster_dist").collect())
 
 
 @pytest.mark.parametrize("levels", [1, 2, 3, 4])

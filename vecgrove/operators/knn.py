@@ -1,9 +1,11 @@
 """Exact and approximate nearest neighbours for whole batches of queries.
 
-The database is scanned in place. Queries travel to it, grouped by the clusters they visit; each task
-keeps a running top-k per query (and cluster) and emits it once, so what is shuffled is k rows per
-query and task, whatever the size or skew of clusters. Queries are broadcast only up to
-``MAX_QUERY_BYTES``; larger sets are searched in as many batches as that takes.
+A search is a join of points and visits (query and cluster) by cluster, with a top-k per query. Visits are
+written once and their size is counted. Up to ``MAX_QUERY_BYTES`` they travel to the database, which is
+scanned in place; beyond, both sides are dealt by cluster, clusters of many points or visits in pieces.
+Either way a task keeps a running top-k per query (and cluster) in arrays, and hands on what it has when
+that exceeds ``MAX_KEPT`` rows, so its memory is bounded and what is shuffled at the end is at most k rows
+per query and task.
 """
 
 from __future__ import annotations
@@ -12,115 +14,192 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.functions.vectors import l2_guarded
 from vecgrove.operators.topk import top, top_k
 from vecgrove.operators.tree import Index, descend, matrix
+from vecgrove.sources.shared import sendable, stored
 
+#: Queries of at most this size are sent to all executors.
 MAX_QUERY_BYTES = 128 << 20
+#: Rows of running top-k lists that a task holds.
+MAX_KEPT = 2_000_000
+#: Points, and visits, of a cluster that one task compares.
+POINTS, VISITS = 1 << 16, 1 << 13
+#: Distances that are computed at once.
+_CHUNK = 2_000_000
+_PART = "qid bigint, cluster_id bigint, id bigint, tie bigint, dist bigint"
+
+
+class Lists:
+    """Running top-k by (dist, tie, id) per (query, cluster), as one set of columns."""
+
+    def __init__(self, k: int, dedup: bool = False):
+        self.k, self.dedup = k, dedup
+        self.columns, self.new, self.pending = [np.zeros(0, np.int64)] * 5, [], 0
+
+    def add(self, dist: np.ndarray, qids: np.ndarray, cluster: int, ties: np.ndarray, ids: np.ndarray) -> None:
+        """``dist`` has a row per query and a column per point."""
+        k = self.k * int(np.unique(ids, return_counts=True)[1].max()) if self.dedup else self.k  # so many hold k ids
+        if dist.shape[1] > k:
+            rows, at = np.nonzero(dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k])
+        else:
+            rows, at = (x.ravel() for x in np.indices(dist.shape))
+        self.new.append((qids[rows], np.full(len(rows), cluster, np.int64), dist[rows, at], ties[at], ids[at]))
+        self.pending += len(rows)
+        if self.pending > max(100_000, len(self.columns[0])):
+            self.cut()
+
+    def cut(self) -> None:
+        """Keep the first k of each list; with ``dedup`` an id counts once, at its smallest distance."""
+        qid, cluster, dist, tie, ids = (np.concatenate(c) for c in zip(self.columns, *self.new, strict=True))
+        if self.dedup:
+            order = np.lexsort((tie, dist, ids, cluster, qid))
+            qid, cluster, dist, tie, ids = (c[order] for c in (qid, cluster, dist, tie, ids))
+            once = _starts(qid, cluster, ids)
+            qid, cluster, dist, tie, ids = (c[once] for c in (qid, cluster, dist, tie, ids))
+        order = np.lexsort((ids, tie, dist, cluster, qid))
+        qid, cluster, dist, tie, ids = (c[order] for c in (qid, cluster, dist, tie, ids))
+        first = np.flatnonzero(_starts(qid, cluster))
+        rank = np.arange(len(qid)) - np.repeat(first, np.diff(np.append(first, len(qid))))
+        self.columns = [c[rank < self.k] for c in (qid, cluster, dist, tie, ids)]
+        self.new, self.pending = [], 0
+
+    def full(self) -> bool:
+        return len(self.columns[0]) + self.pending > MAX_KEPT
+
+    def take(self) -> pa.RecordBatch:
+        self.cut()
+        qid, cluster, dist, tie, ids = self.columns
+        self.columns = [c[:0] for c in self.columns]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (qid, cluster, ids, tie, dist)], ["qid", "cluster_id", "id", "tie", "dist"])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where, in sorted columns, a row differs from the one before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-class Best:
-    """Running top-k by (distance, tie key) with payload columns."""
-
-    __slots__ = ("dist", "id", "tie")
-
-    def __init__(self) -> None:
-        self.dist = self.tie = self.id = np.zeros(0, np.int64)
-
-    def add(self, dist: np.ndarray, tie: np.ndarray, ids: np.ndarray, k: int) -> None:
-        d, t, i = np.concatenate((self.dist, dist)), np.concatenate((self.tie, tie)), np.concatenate((self.id, ids))
-        order = np.lexsort((i, t, d))[:k]
-        self.dist, self.tie, self.id = d[order], t[order], i[order]
+def _compare(found: Lists, x: np.ndarray, ids: np.ndarray, ties: np.ndarray, q: np.ndarray, qids: np.ndarray, cluster: int) -> Iterator[pa.RecordBatch]:
+    """All distances of points and queries of one cluster, some at a time; lists are handed on where they grow too long."""
+    if q.shape[1] != x.shape[1]:
+        return  # vectors of another length match nothing
+    norms = (x * x).sum(1)
+    step = max(1, _CHUNK // max(1, len(x)))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        found.add(np.rint(norms[None, :] + (part * part).sum(1)[:, None] - 2 * part @ x.T).astype(np.int64), qids[at : at + step], cluster, ties, ids)
+        if found.full():
+            yield found.take()
 
 
-def _scan_part(db: DataFrame, visits: DataFrame, k: int, per_cluster: bool, tie: str) -> DataFrame:
-    rows = visits.select("cluster_id", "qid", "vec").toArrow()
-    n = rows.num_rows
+def _by_cluster(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """cluster: (query ids, vectors) of visits."""
+    if not rows.num_rows:
+        return {}
     cluster, qid = (rows.column(c).to_numpy() for c in ("cluster_id", "qid"))
-    vectors = matrix(rows.column("vec")) if n else np.zeros((0, 1))
+    vectors = matrix(rows.column("vec"))
     order = np.argsort(cluster, kind="stable")
     cuts = np.flatnonzero(np.diff(cluster[order])) + 1
-    by = {int(cluster[g[0]]): (qid[g], vectors[g], (vectors[g] ** 2).sum(1)) for g in np.split(order, cuts) if len(g)}
-    sent = db.sparkSession.sparkContext.broadcast(by)
+    return {int(cluster[g[0]]): (qid[g], vectors[g]) for g in np.split(order, cuts)}
+
+
+def _scan_in_place(db: DataFrame, visits: DataFrame, k: int, per_cluster: bool, dedup: bool) -> DataFrame:
+    """The database where it lies; all visits go to every executor."""
+    sent = db.sparkSession.sparkContext.broadcast(_by_cluster(visits.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], Best] = {}
+        found, asked = Lists(k, dedup), np.fromiter(sent.value, np.int64, len(sent.value))
         for b in batches:
             clusters, ids, ties = (b.column(i).to_numpy() for i in (0, 1, 2))
-            visited = np.isin(clusters, np.fromiter(sent.value, np.int64, len(sent.value)))
+            visited = np.isin(clusters, asked)
             if not visited.any():
                 continue
             x = matrix(b.column(3))
             for c in np.unique(clusters[visited]).tolist():
                 at = np.flatnonzero(clusters == c)
-                qids, q, norms = sent.value[c]
-                if q.shape[1] != x.shape[1]:
-                    continue  # vectors of another length match nothing
-                v = x[at]
-                dist = np.rint((v * v).sum(1)[:, None] + norms[None, :] - 2 * v @ q.T).astype(np.int64)
-                for j, one in enumerate(qids.tolist()):
-                    d = dist[:, j]
-                    pick = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else slice(None)
-                    found.setdefault((one, c if per_cluster else 0), Best()).add(d[pick], ties[at][pick], ids[at][pick], k)
-        if found:
-            sizes = [len(v.dist) for v in found.values()]
-            keys = np.repeat(np.array(list(found), np.int64), sizes, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(np.concatenate([getattr(v, a) for v in found.values()])) for a in ("id", "tie", "dist"))],
-                ["qid", "cluster_id", "id", "tie", "dist"],
-            )
-
-    picked = db.select(F.col("cluster_id").cast("bigint"), F.col("id").cast("bigint"), F.col(tie).cast("bigint").alias("tie"), "vec")
-    part = picked.mapInArrow(run, "qid bigint, cluster_id bigint, id bigint, tie bigint, dist bigint")
-    return top(part, ("qid", "cluster_id") if per_cluster else ("qid",), ("dist", "tie", "id"), k)
-
-
-def scan(db: DataFrame, visits: DataFrame, k: int, per_cluster: bool = False, tie: str = "id") -> DataFrame:
+                qids, q = sent.value[c]
+                yield from _compare(found, x[at], ids[at], ties[at], q, qids, c if per_cluster else 0)
+        yield found.take()
+
+    return db.mapInArrow(run, _PART)
+
+
+def _scan_dealt(db: DataFrame, visits: DataFrame, k: int, per_cluster: bool, dedup: bool) -> DataFrame:
+    """Points and visits dealt by cluster; a large cluster's points and visits in pieces, each pair of which meets once."""
+    pieces = [F.ceil(F.count(F.lit(1)) / n).cast("int").alias(c) for n, c in ((POINTS, "ps"), (VISITS, "vs"))]
+    units = db.groupBy("cluster_id").agg(pieces[0]).join(visits.groupBy("cluster_id").agg(pieces[1]), "cluster_id")
+    units = sendable(stored(units, "units"))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    points = db.join(units, "cluster_id").withColumn("p", F.pmod(F.xxhash64("id"), F.col("ps")).cast("int")).withColumn("v", each("vs"))
+    points = points.select("cluster_id", "p", "v", "id", "tie", "vec")
+    asked = visits.join(units, "cluster_id").withColumn("v", F.pmod(F.xxhash64("qid"), F.col("vs")).cast("int")).withColumn("p", each("ps"))
+    asked = asked.select("cluster_id", "p", "v", "qid", "vec")
+
+    def run(own: pa.Table, queries: pa.Table) -> pa.Table:
+        out, found = [], Lists(k, dedup)
+        if own.num_rows and queries.num_rows:
+            cluster = own.column("cluster_id")[0].as_py() if per_cluster else 0
+            ids, ties, qids = own.column("id").to_numpy(), own.column("tie").to_numpy(), queries.column("qid").to_numpy()
+            out = list(_compare(found, matrix(own.column("vec")), ids, ties, matrix(queries.column("vec")), qids, cluster))
+        return pa.Table.from_batches([*out, found.take()])
+
+    keys = ("cluster_id", "p", "v")
+    return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, _PART)
+
+
+def scan(db: DataFrame, visits: DataFrame, k: int, per_cluster: bool = False, tie: str = "id", dedup: bool = False, strategy: str = "auto") -> DataFrame:
     """Top k by (dist, tie) per query, or per query and cluster, of the points in the clusters visited.
 
     ``db(cluster_id, id, vec, ...)``, ``visits(cluster_id, qid, vec)``; result qid, cluster_id, id, tie,
-    dist, rank. A query's visits stay in one batch.
+    dist, rank. With ``dedup`` an id that occurs more than once counts once. ``strategy``: ``broadcast`` the
+    visits, ``shuffle`` both sides, or by their size.
     """
-    first = visits.select(F.size("vec").alias("d")).first()
-    parts = 1 if first is None else -(-visits.count() * (8 * first["d"] + 64) // MAX_QUERY_BYTES)
-    out = None
-    for i in range(max(1, parts)):
-        some = visits if parts <= 1 else visits.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
-        part = _scan_part(db, some, k, per_cluster, tie)
-        out = part if out is None else out.unionByName(part)
-    return out
+    if strategy not in ("auto", "broadcast", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy}")
+    seen = stored(visits.select(F.col("cluster_id").cast("bigint"), F.col("qid").cast("bigint"), "vec"), "visits")
+    n, d = seen.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    points = db.select(F.col("cluster_id").cast("bigint"), F.col("id").cast("bigint"), F.col(tie).cast("bigint").alias("tie"), "vec")
+    small = n * (8 * d + 64) <= MAX_QUERY_BYTES
+    way = _scan_in_place if strategy == "broadcast" or (strategy == "auto" and small) else _scan_dealt
+    part = way(points, seen, k, per_cluster, dedup)
+    by = ("qid", "cluster_id") if per_cluster else ("qid",)
+    if dedup:
+        part = part.groupBy("qid", "cluster_id", "id").agg(F.min(F.struct("dist", "tie")).alias("m")).select("qid", "cluster_id", "id", "m.tie", "m.dist")
+    return top(part, by, ("dist", "tie", "id"), k)
 
 
-def exact_knn(db: DataFrame, queries: DataFrame, k: int, dedup: bool = False) -> DataFrame:
+def exact_knn(db: DataFrame, queries: DataFrame, k: int, dedup: bool = False, strategy: str = "auto") -> DataFrame:
     """qid, rank, id, dist of the k nearest of ``db(id, vec)`` to each of ``queries(qid, vec)``.
 
     With ``dedup`` an id that occurs more than once counts once.
     """
     one = F.lit(0).cast("bigint").alias("cluster_id")
-    rows = db.select(one, "id", "vec")
-    if dedup:
-        rows = rows.dropDuplicates(["id", "vec"])
-        found = top_k(scan(rows, queries.select(one, "qid", "vec"), k * _most_copies(rows)), k, dedup=True)
-    else:
-        found = scan(rows, queries.select(one, "qid", "vec"), k)
+    found = scan(db.select(one, "id", "vec"), queries.select(one, "qid", "vec"), k, dedup=dedup, strategy=strategy)
     return found.select("qid", "rank", "id", "dist")
 
 
-def _most_copies(rows: DataFrame) -> int:
-    """Rows that the most frequent id has: so many times k rows hold k distinct ids."""
-    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-
-
-def exact_knn_columns(db: DataFrame, queries: DataFrame, k: int, max_pairs: int = 10_000_000) -> DataFrame:
-    """The rows of ``exact_knn`` by expressions only; for small inputs and as a yardstick."""
-    if db.count() * queries.count() > max_pairs:
-        raise ValueError("too many pairs; use exact_knn")
-    pairs = db.select("id", F.col("vec").alias("v")).join(F.broadcast(queries.select("qid", F.col("vec").alias("q"))), F.lit(True))
-    scored = pairs.withColumn("dist", l2_guarded(F.col("v"), F.col("q"))).where("dist IS NOT NULL")
-    return top_k(scored, k).select("qid", "rank", "id", "dist")
+def exact_knn_columns(db: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The rows of ``exact_knn`` by expressions only: all points against blocks of the queries, each sent to all executors."""
+    asked = stored(queries.select("qid", F.col("vec").alias("q")), "queries")
+    n, d = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    blocks = max(1, -(-n * (8 * d + 64) // MAX_QUERY_BYTES))
+    points, out = db.select("id", F.col("vec").alias("v")), None
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        scored = points.join(F.broadcast(block), F.lit(True)).withColumn("dist", l2_guarded(F.col("v"), F.col("q"))).where("dist IS NOT NULL")
+        part = top_k(scored, k).select("qid", "rank", "id", "dist")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def visits(queries: DataFrame, index: Index, b: int) -> DataFrame:
@@ -133,25 +212,30 @@ def lookup(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster_id").agg(F.array_sort(F.collect_list("qid")).alias("qids"))
 
 
-def approx_knn(db: DataFrame, queries: DataFrame, index: Index, b: int, k: int, limit: int | None = None) -> DataFrame:
+def approx_knn(db: DataFrame, queries: DataFrame, index: Index, b: int, k: int, limit: int | None = None, strategy: str = "auto") -> DataFrame:
     """k nearest among the points of the b clusters nearest to each query.
 
     ``limit``: k nearest of each cluster first, then the ``limit`` nearest of those.
     """
     seen = visits(queries, index, b)
     if limit is None:
-        return scan(db, seen, k).select("qid", "rank", "id", "dist")
-    return top_k(scan(db, seen, k, per_cluster=True), limit).select("qid", "rank", "id", "dist")
+        return scan(db, seen, k, strategy=strategy).select("qid", "rank", "id", "dist")
+    return top_k(scan(db, seen, k, per_cluster=True, strategy=strategy), limit).select("qid", "rank", "id", "dist")
+
+
+def batch_of(qid: str, n: int) -> Column:
+    """The batch, of n, that a query belongs to."""
+    return F.pmod(F.xxhash64(qid), F.lit(n)).cast("int")
 
 
 def batched_knn(db: DataFrame, queries: DataFrame, index: Index, b: int, k: int, batch: int) -> DataFrame:
-    """``approx_knn`` in batches of about ``batch`` queries, with the batch of each row."""
+    """``approx_knn`` with the batch, of about ``batch`` queries, of each row.
+
+    All batches are searched in one pass over the database, as a task's memory does not grow with the
+    queries; the batch is a column by which results are saved and reloaded.
+    """
     n = max(1, queries.count() // batch)
-    out = None
-    for i in range(n):
-        part = approx_knn(db, queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i), index, b, k).withColumn("batch", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return approx_knn(db, queries, index, b, k).withColumn("batch", batch_of("qid", n))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vecgrove.functions.vectors import l2_squared, selection_score
 from vecgrove.operators.topk import top
-from vecgrove.sources.shared import stored
+from vecgrove.sources.shared import numbered, stored
 
 MAX_INDEX_BYTES = 512 << 20
 EDGES = "level int, parent bigint, child bigint"
@@ -42,10 +42,17 @@ class Index:
 
 
 def sample_leaders(vectors: DataFrame, n: int) -> DataFrame:
-    """n rows of ``vectors(id, vec)`` in the order of md5(id), numbered from 0; without replacement."""
-    order = (F.md5(F.col("id").cast("string")), F.col("id"))
-    first = vectors.select("id", "vec").orderBy(*order).limit(n)  # n is bounded, so one window over it is
-    return first.withColumn("leader_id", (F.row_number().over(W.orderBy(*order)) - 1).cast("bigint")).select("leader_id", "id", "vec")
+    """n rows of ``vectors(id, vec)`` in the order of md5(id), numbered from 0; without replacement.
+
+    A cut on the hash leaves little over n rows before they are ordered.
+    """
+    rows = vectors.select("id", "vec").withColumn("_md5", F.md5(F.col("id").cast("string")))
+    total = vectors.count()
+    if total > 4 * n:
+        share = 1.25 * n / total + 100 / total
+        few = rows.where(F.col("_md5") < f"{int(min(share, 1) * 0xFFFFFFFF):08x}")
+        rows = few if few.count() >= n else rows
+    return numbered(rows, "leader_id", "_md5", "id").where(F.col("leader_id") < n).select(F.col("leader_id").cast("bigint"), "id", "vec")
 
 
 class Packed:
@@ -53,13 +60,13 @@ class Packed:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, children: list[dict[int, np.ndarray]]):
         order = np.argsort(ids)
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        self.norms = (self.vectors * self.vectors).sum(1)
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors, dtype=np.float64)
         self.children = children
 
     def distances(self, x: np.ndarray, leaders: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.ids, leaders)
-        return (x * x).sum(1)[:, None] + self.norms[at][None, :] - 2 * x @ self.vectors[at].T
+        return (x * x).sum(1)[:, None] + self.norms[at][None, :] - 2 * x @ self.vectors[at].astype(np.float64).T
 
     def search(self, x: np.ndarray, n: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, rank, leader and distance of the n nearest in the bucket that each row of x reaches."""
@@ -86,13 +93,13 @@ class Packed:
 
 
 def packed(leaders: DataFrame, edges: DataFrame, levels: int) -> Packed | None:
-    """None if the index is larger than MAX_INDEX_BYTES."""
-    n = leaders.count()
-    first = leaders.select(F.size("vec").alias("d")).first()
-    if n * (first["d"] if first else 0) * 8 + edges.count() * 16 > MAX_INDEX_BYTES:
+    """None if the index is larger than MAX_INDEX_BYTES. Vectors of signed bytes, as quantising makes them, take a byte a value."""
+    n, d, most, least = leaders.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.max(F.array_max("vec")), F.min(F.array_min("vec"))).first()
+    kind = np.int8 if n and d and -128 <= least and most <= 127 else np.float64
+    if n * (d or 0) * np.dtype(kind).itemsize + n * 24 + edges.count() * 16 > MAX_INDEX_BYTES:
         return None
     rows = leaders.select("leader_id", "vec").toArrow()
-    vectors = np.array(rows.column("vec").combine_chunks().flatten()).reshape(n, -1) if n else np.zeros((0, 1))
+    vectors = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, -1) if n else np.zeros((0, 1))
     links = edges.select("level", "parent", "child").toArrow()
     level, parent, child = (links.column(c).to_numpy() for c in ("level", "parent", "child"))
     children: list[dict[int, np.ndarray]] = []

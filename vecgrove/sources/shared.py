@@ -7,7 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Tables of at most this many short rows are sent to all executors; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +34,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sendable(small: DataFrame) -> DataFrame:
+    """A table of short rows, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """``df`` with a column of numbers from 0 in a total order: by ranges, then within each, so that no task holds all rows."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    first, rows = 0, []
+    for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():  # as many as partitions
+        rows.append((r["_part"], first))
+        first += r["n"]
+    starts = df.sparkSession.createDataFrame(rows, "_part int, _first bigint")
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_no", within).join(F.broadcast(starts), "_part").withColumn(name, F.col("_no") + F.col("_first")).drop("_part", "_first", "_no")
