@@ -33,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecgrove.llm.common import WORD, sendable, stored, table
+from vecgrove.sources.shared import numbered
 
 #: Overlapping patterns, and memberships of theirs, that the flow network may have.
 MAX_PATTERNS, MAX_ARCS = 20_000, 400_000
@@ -144,23 +145,11 @@ def _hash(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), docs[id_col].cast("bigint"), docs[text_col])
 
 
-def _numbered(sources: DataFrame) -> DataFrame:
-    """``sources(source, ...)`` with its number ``no`` in order, from 0: by ranges, then within each."""
-    ranged = stored(sources.repartitionByRange("source").withColumn("part", F.spark_partition_id()), "mix-ranges")
-    first, rows = 0, []
-    for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # as many as partitions
-        rows.append((r["part"], first))
-        first += r["n"]
-    starts = sources.sparkSession.createDataFrame(rows, "part int, first bigint")
-    within = F.row_number().over(W.partitionBy("part").orderBy("source")) - 1
-    return ranged.withColumn("no", within).join(F.broadcast(starts), "part").withColumn("no", F.col("no") + F.col("first")).drop("part", "first")
-
-
 def with_targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: int) -> DataFrame:
     """``sources(source, source_size)`` with the target that each gets of the sum of all sizes."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("no") % len(weights)).cast("int") + 1)
     limit = F.col("source_size") * float(max_repeat)
-    numbered = stored(_numbered(sources).withColumn("weight", weight).withColumn("limit", limit), "mix-sources")
+    numbered = stored(numbered(sources, "no", "source").withColumn("weight", weight).withColumn("limit", limit), "mix-sources")
     total = numbered.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, -1.0
     while level > before:
