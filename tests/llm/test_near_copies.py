@@ -64,6 +64,39 @@ def test_null_and_repeated_ids(spark):
     assert len(out) == 4 and {(1, b + " end"), (1, "other"), (None, "lone")} < set(out) and {(None, a), (None, a + " end")} & set(out)
 
 
+def test_bits_and_links_of_a_unit(monkeypatch):
+    import numpy as np
+    import vecgrove.llm.near_copies as N
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, 40)).astype(np.int32) for _ in range(30)]
+    sets += [np.sort(rng.permutation(s)[: max(1, len(s) - 2)]) for s in sets[:20]]
+    for most in (1 << 25, 0):
+        monkeypatch.setattr(N, "_BYTES", most)
+        bits = N.bit_rows(sets)
+        for i in range(len(sets)):
+            for j in range(i):
+                assert int(np.bitwise_count(bits[i] & bits[j]).sum()) == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+        a, b = N.spanning(np.arange(100, 150), sets)
+        label = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                x, y = set(sets[i].tolist()), set(sets[j].tolist())
+                if 5 * len(x & y) >= 4 * len(x | y):
+                    old, new = label[i], label[j]
+                    label = [new if k == old else k for k in label]
+        want = {}
+        for i, k in enumerate(label):
+            want.setdefault(k, []).append(100 + i)
+        got = {i: {i} for i in range(100, 150)}
+        for x, y in zip(a, b, strict=True):
+            whole = got[x] | got[y]
+            for k in whole:
+                got[k] = whole
+        assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()}
+        assert len(a) == 50 - len(want)
+
+
 def test_common_keys_are_dealt_again(spark, monkeypatch):
     """Passages that most texts share, families of copies of copies: with groups of any size, the same documents stay."""
     import vecgrove.llm.near_copies as N

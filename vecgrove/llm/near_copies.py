@@ -11,14 +11,14 @@ give ``BANDS`` keys of ``ROWS`` MinHash values each, and nodes that share a key
 nodes of similarity s share no key with probability (1 - s ** ROWS) ** BANDS, that is 2e-6 at 0.8 and
 less above; nothing else is left out.
 
-Under each key all nodes are compared with one of them, its centre, and those that no link joins to it with
-others in up to ``ROUNDS`` rounds; what the links found leave as more than one component under a key is then
-compared pair by pair across its components. A key that a passage common to many texts gives to more than
-``GROUP`` nodes is not compared so at once: its nodes are dealt again by a further key that they share, as
-often as ``DEEPER`` times, which keeps similar texts together (two of similarity 0.8 share no second key
-with probability 4e-5, no third with 3e-4; this counts only under keys that are so common) and parts those
-that have little but the passage in common. Pairs whose set sizes alone rule out the similarity are skipped.
-Shingle sets are made for candidates only.
+Nodes under a key meet in one task, which has their shingle sets as rows of a bit matrix, compares them by
+counting common bits, and emits a spanning set of the links found, not all of them; so rows grow with the
+nodes, not with their pairs. A key that a passage common to many texts gives to more than ``GROUP`` nodes
+is dealt again by a further key that its nodes share, as often as ``DEEPER`` times, which keeps similar
+texts together (two of similarity 0.8 share no second key with probability 4e-5, no third with 3e-4; this
+counts only under keys that are so common) and parts those that have little but the passage in common; what
+is still larger is cut into blocks, and each pair of blocks meets in a task. Shingle sets are made for
+candidates only, of 32 bits of each shingle's hash: two shingles of a text agree in them once in 4e9.
 
 Defined results: words and lower-casing as for fingerprints; a text of fewer than five words is one
 shingle; texts without words are one node. Repeated rows are members of the same component. Empty tables
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.llm.common import batched, kept, lower_bytes, row_hash, sendable, stored
@@ -43,12 +43,10 @@ WORDS = 5
 MAX_BITS = 4
 #: 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs of similarity 0.8 share a key.
 ROWS, BANDS = 4, 25
-#: Pairs of one node that are verified by one task.
-PAIRS = 256
-#: Nodes under a key that are compared pair by pair, and times that larger groups are dealt by a further key.
+#: Nodes that one task compares, and times that larger groups are dealt by a further key.
 GROUP, DEEPER = 4096, 2
-#: Rounds of centres; they end with fewer pairs left per node under a key, or a smaller share of links in the pairs of a round.
-ROUNDS, LEFT, YIELD = 5, 4, 0.05
+#: Bits of a matrix that is made by way of bytes.
+_BYTES = 1 << 25
 _RNG = np.random.default_rng(5)
 _TURN = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64)
@@ -119,102 +117,129 @@ def _sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataF
             for t in b.column(0):
                 node, h = shingles(t.as_py())
                 node = pa.array(np.array([node], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h.view(np.int64)))], ["node", "hashes"])
+                short = pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), short)], ["node", "hashes"])
 
     wanted = sendable(rows.toDF("_vg_id", "_vg_row"))
     same = docs[id_col].cast("bigint").eqNullSafe(F.col("_vg_id")) & (row_hash(docs[text_col]) == F.col("_vg_row"))
     texts = docs.join(wanted, same, "left_semi").select(docs[text_col].cast("binary").alias("text"))
-    return batched(texts).mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
+    return batched(texts).mapInArrow(run, "node bigint, hashes array<int>").dropDuplicates(["node"])
+
+
+# -- the comparison ---------------------------------------------------------------------------
+
+
+def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per set, a column per value that two or more sets have."""
+    flat = np.concatenate(sets)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    pick = shared[column]
+    row, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[pick], number[column[pick]]
+    words = max(1, -(-int(shared.sum()) // 64))
+    if len(sets) * words * 64 <= _BYTES:
+        whole = np.zeros((len(sets), words * 64), bool)
+        whole[row, at] = True
+        return np.packbits(whole, axis=1, bitorder="little").view(np.uint64)
+    out = np.zeros((len(sets), words), np.uint64)
+    np.bitwise_or.at(out, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def spanning(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links from the first node of each component to its others."""
+    sizes = np.array([len(x) for x in sets])
+    bits, left = bit_rows(sets), np.arange(len(nodes))
+    a, b = [], []
+    while len(left) > 1:
+        start, left = left[0], left[1:]
+        edge = [start]
+        while edge and len(left):  # breadth first, over what is not reached yet
+            x = edge.pop()
+            common = np.bitwise_count(bits[left] & bits[x]).sum(1, dtype=np.int64)
+            hit = 5 * common >= 4 * (sizes[left] + sizes[x] - common)
+            if hit.any():
+                got, left = left[hit], left[~hit]
+                a += [int(nodes[start])] * len(got)
+                b += nodes[got].tolist()
+                edge += got.tolist()
+    return a, b
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) among the nodes of each unit of ``rows(group, unit, node, hashes)``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near copies")
+        last, nodes, sets = None, [], []
+        for b in batches:
+            units = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            for unit, node, values in zip(units, b.column(2).to_pylist(), b.column(3), strict=True):
+                if unit != last:
+                    if len(nodes) > 1:
+                        yield _links(*spanning(np.array(nodes), sets))
+                    last, nodes, sets = unit, [], []
+                nodes.append(node)
+                sets.append(values.values.to_numpy(zero_copy_only=False))
+        if len(nodes) > 1:
+            yield _links(*spanning(np.array(nodes), sets))
 
-def _fit(n: Column | str, m: Column | str) -> Column:
-    """Sets of these sizes may have a similarity of 0.8."""
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    # a unit's rows come one after the other, and small tables of links are made larger again
+    dealt = rows.repartition("group", "unit").sortWithinPartitions("group", "unit", "node")
+    return batched(dealt.select("group", "unit", "node", "hashes")).mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have a similarity of 0.8 or more."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
-    rows = stored(nodes.join(sendable(wanted), "node", "left_semi").select("r.id", "r.row"), "near-rows")
-    sets = stored(_sets(docs, rows, id_col, text_col), "near-sets")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
-    parts = stored(parts, "near-parts")
-    left = sets.withColumnsRenamed({"node": "a", "hashes": "ha"}).join(sendable(parts), "a")
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = pairs.join(sendable(parts), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    both = dealt.join(sets.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b").join(left, ["a", "part"])
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.withColumn("shared", shared).where("5 * shared >= 4 * (size(ha) + size(hb) - shared)").select("a", "b")
+def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _by_fingerprint(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): nodes of the same fingerprint, and the first nodes of fingerprints that link."""
-    first = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f"), F.count(F.lit(1)).alias("nodes")), "near-prints")
-    first = first.select("fp", F.col("f.node").alias("first"), F.col("f.n").alias("m"), "nodes")
-    same = nodes.join(sendable(first.where("nodes > 1")), "fp").where("node <> first")
-    same = same.where(_fit("n", "m")).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = links(first.select("fp"), MAX_BITS).where("a <> b").distinct()
-    x, y = (first.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"), F.col("m").alias(f"n_{c}")) for c in "ab")
-    near = near.join(x, "a").join(y, "b").where(_fit("n_a", "n_b"))
-    return same.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
-
-
-def _open(named: DataFrame) -> DataFrame:
-    """group, large: groups of more than one component."""
-    parts = named.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("nodes"))
-    return stored(parts.where("x <> y").select("group", (F.col("nodes") > GROUP).alias("large")), "near-open")
-
-
-def _across(named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components under ``named(group, node, n, label)``, a group being a set of keys."""
-    keys = nodes.select("node", "keys")
-    out = None
-    for depth in range(DEEPER + 1):
-        named = stored(named.join(sendable(_open(named)), "group"), "near-named")
-        small = named if depth == DEEPER else named.where("NOT large")
-        x, y = small.select("group", F.col("node").alias("a"), "n", F.col("label").alias("x")), small.select("group", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))
-        found = x.join(y, "group").where("a < b AND x <> y").where(_fit("n", "m")).select("a", "b")
-        out = found if out is None else out.unionByName(found)
-        if depth == DEEPER or not named.where("large").limit(1).count():
-            break
-        each = F.explode(F.array_except("keys", "group"))
-        named = named.where("large").drop("large").join(keys, "node").select("group", "node", "n", "label", each.alias("key"))
-        named = named.select(F.array_sort(F.array_append("group", F.col("key"))).alias("group"), "node", "n", "label").distinct()
-    return out.distinct()
+# -- candidates -------------------------------------------------------------------------------
 
 
-def _pairs_left(named: DataFrame) -> float:
-    """Pairs across components under the keys of ``named(key, node, label)``, per row."""
-    each = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = each.groupBy("key").agg(F.sum("c").alias("nodes"), F.sum(F.col("c").cast("double") * F.col("c")).alias("inside"))
-    rows, pairs = per.agg(F.sum("nodes"), F.sum((F.col("nodes").cast("double") * F.col("nodes") - F.col("inside")) / 2)).first()
-    return pairs / rows if rows else 0.0
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(group, node): nodes of the same fingerprint, and the first nodes of two fingerprints that link."""
+    same = nodes.select(F.xxhash64("fp", F.lit("same")).alias("group"), "node")
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
+    near = stored(links(first.select("fp"), MAX_BITS).where("a <> b").distinct(), "near-fingerprints")
+    ends = near.select(F.xxhash64("a", "b").alias("group"), F.explode(F.array("a", "b")).alias("fp"))
+    return same.unionByName(ends.join(first, "fp").select("group", "node"))
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(group, unit, node) for all groups of two or more nodes; large ones dealt again, then in blocks."""
+    keyed = nodes.select(F.explode("keys").alias("group"), "node").unionByName(_by_fingerprint(nodes))
+    counted = stored(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-groups")
+    members = stored(keyed.join(sendable(counted), "group"), "near-members")
+    out, large = [members.where(F.col("c") <= GROUP)], members.where(F.col("c") > GROUP)
+    for _ in range(DEEPER):
+        if not large.limit(1).count():
+            break
+        each = large.select("group", "node").join(nodes.select("node", F.explode("keys").alias("key")), "node")
+        again = each.where("key <> group").select(F.xxhash64("group", "key").alias("group"), "node").distinct()
+        counted = stored(again.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-groups")
+        members = stored(again.join(sendable(counted), "group"), "near-members")
+        out.append(members.where(F.col("c") <= GROUP))
+        large = members.where(F.col("c") > GROUP)
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.select("group", F.lit(0).cast("bigint").alias("unit"), "node")
+    if not large.limit(1).count():
+        return whole
+    blocks = F.ceil(2 * F.col("c") / GROUP)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    units = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: 1 + F.least(own, j) * blocks + F.greatest(own, j))
+    return whole.unionByName(large.select("group", F.explode(units).alias("unit"), "node"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row (hash of the text), component per row."""
     signed = stored(signatures(docs, id_col, text_col), "near-signatures")
-    one = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    one = [F.first(c).alias(c) for c in ("fp", "keys")]
     nodes = stored(signed.groupBy("node").agg(F.min(F.struct("id", "row")).alias("r"), *one), "near-nodes")
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "near-keys")
-    members = stored(keyed.join(sendable(shared), "key").distinct(), "near-members")
-    named, tried, good, labels = members.withColumn("label", F.col("node")), None, None, None
-    for turn in range(ROUNDS):
-        centre = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("c")
-        centres = stored(named.groupBy("key").agg(centre).select("key", F.col("c.node").alias("c"), F.col("c.n").alias("m"), F.col("c.label").alias("own")), "near-centres")
-        pairs = named.join(sendable(centres), "key").where("label <> own").where(_fit("n", "m")).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti") if tried else pairs.unionByName(_by_fingerprint(nodes)).distinct()
-        pairs = stored(pairs, "near-pairs")
-        linked = stored(_verified(pairs, docs, nodes, id_col, text_col), "near-links")
-        tried, good = (tried.unionByName(pairs), good.unionByName(linked)) if tried else (pairs, linked)
-        labels = stored(components(good), "near-labels")
-        named = stored(members.join(sendable(labels), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "near-named")
-        if linked.count() < YIELD * pairs.count() or _pairs_left(named) <= LEFT:
-            break
-    more = _across(named.select(F.array("key").alias("group"), "node", "n", "label"), nodes)
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "near-pairs-across")
-    if more.limit(1).count():
-        good = good.unionByName(stored(_verified(more, docs, nodes, id_col, text_col), "near-links-across"))
-        labels = stored(components(good), "near-labels")
+    members = stored(_members(nodes), "near-units")
+    wanted = stored(nodes.join(sendable(members.select("node").distinct()), "node", "left_semi").select("r.id", "r.row"), "near-rows")
+    sets = stored(_sets(docs, wanted, id_col, text_col), "near-sets")
+    labels = stored(components(stored(_compared(members.join(sets, "node")), "near-links")), "near-labels")
     return signed.join(sendable(labels), "node", "left").select("id", "row", F.coalesce("label", "node").alias("component"))
