@@ -149,16 +149,16 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: int
     """``sources(source, source_size)`` with the target that each gets of the sum of all sizes."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("no") % len(weights)).cast("int") + 1)
     limit = F.col("source_size") * float(max_repeat)
-    numbered = stored(numbered(sources, "no", "source").withColumn("weight", weight).withColumn("limit", limit), "mix-sources")
-    total = numbered.agg(F.sum("source_size")).first()[0] or 0
+    rows = stored(numbered(sources, "no", "source").withColumn("weight", weight).withColumn("limit", limit), "mix-sources")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, -1.0
     while level > before:
         over = F.col("weight") * level >= F.col("limit")
-        full, open_ = numbered.agg(F.sum(F.when(over, F.col("limit")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        full, open_ = rows.agg(F.sum(F.when(over, F.col("limit")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
         if not open_:
             break
         level, before = max(level, (total - full) / open_), level
-    return numbered.select("source", "source_size", F.least(F.col("weight") * level, "limit").alias("target") if level else F.lit(0.0).alias("target"))
+    return rows.select("source", "source_size", F.least(F.col("weight") * level, "limit").alias("target") if level else F.lit(0.0).alias("target"))
 
 
 def _in_network(patterns: DataFrame, max_patterns: int) -> list[str]:
