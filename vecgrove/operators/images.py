@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecgrove.operators.assign import database
 from vecgrove.operators.knn import scan, visits
+from vecgrove.operators.merge import merge_databases
 from vecgrove.operators.topk import shortlist, top, vote
 from vecgrove.operators.tree import Index
 
@@ -29,6 +31,11 @@ def search_images(db: DataFrame, queries: DataFrame, index: Index, b: int, k: in
     return shortlist(image_votes(db, queries, index, b, k), m).join(points, "query_image")
 
 
+def extend_database(db: DataFrame, points: DataFrame, index: Index, mode: str = "full") -> DataFrame:
+    """``db(cluster_id, id, image_id, vec)`` with the points of new images, ``points(id, image_id, vec)``, each in its cluster."""
+    return merge_databases(db, database(points, index).select(db.columns), mode)
+
+
 def bag_of_features(db: DataFrame) -> DataFrame:
     """cluster_id, image_id, once each; vectors are not read."""
     return db.select("cluster_id", "image_id").distinct()

@@ -6,8 +6,7 @@ the rows whose id is divisible by 20, searched against all rows.
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +18,23 @@ from vecgrove.operators import hubness as H
 from vecgrove.operators import images as I
 from vecgrove.operators import knn as N
 from vecgrove.operators import merge as M
+from vecgrove.operators import sample as S
 from vecgrove.operators import topk as T
 from vecgrove.operators.kmeans import ground_truth_vectors, kmeans_histogram
 from vecgrove.operators.tree import Index, build_tree, cluster_paths, descend_joins, sample_leaders
-from vecgrove.sources.shared import shared_dir
+from vecgrove.sources import files, results
+from vecgrove.sources import vectors as V
+from vecgrove.sources.shared import shared_dir, stored
 from vecgrove.streaming.service import Service
 
 C, TREE_A, B, K = 60, 3, 3, 5
 #: Clusters per query with which the flat index finds nine in ten exact neighbours of this data.
 WIDE_B = 48
 QUERY_STEP = 20
+#: A coarse index for results: of 12 clusters, 10 (the most that a batch header may ask for) hold over nine in ten exact neighbours.
+COARSE, COARSE_B = 12, 10
+#: Ids that the hubness study draws, and below which number.
+STUDY, STUDY_OF = 300, 2000
 
 QUERIES: dict = {}
 
@@ -47,16 +53,21 @@ def asked(v: DataFrame) -> DataFrame:
     return v.where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("qid"), F.col("image_id").alias("query_image"), "vec")
 
 
-def index_of(v: DataFrame, levels: int) -> Index:
-    return build_tree(sample_leaders(v, C), levels, TREE_A)
+def index_of(v: DataFrame, levels: int, n: int = C) -> Index:
+    return build_tree(sample_leaders(v, n), levels, TREE_A)
 
 
-def _setup(spark: SparkSession, sf: str, levels: int = 1) -> tuple[DataFrame, DataFrame, Index, DataFrame]:
+def _setup(spark: SparkSession, sf: str, levels: int = 1, n: int = C) -> tuple[DataFrame, DataFrame, Index, DataFrame]:
     v = vectors(spark, sf)
-    index = index_of(v, levels)
+    index = index_of(v, levels, n)
     return v, asked(v), index, A.database(v, index)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path among the shared ones."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def quantize_vectors(spark, sf):
     return vectors(spark, sf).select("id", F.posexplode("vec").alias("pos", "x"))
@@ -177,14 +188,20 @@ def cluster_sizes(spark, sf):
 
 @query
 def cluster_members_sorted(spark, sf):
-    db = A.grouped(_setup(spark, sf, 2)[3], piece=1 << 30)
+    """Ids of the points of each piece of a cluster, in order; pieces of at most about 4096 points."""
+    db = A.grouped(_setup(spark, sf, 2)[3])
     return db.select("cluster_id", F.array_join(F.transform("points", lambda p: p["id"].cast("string")), ",").alias("ids"))
 
 
-@query
-def cluster_path_scores(spark, sf):
-    v = vectors(spark, sf)
-    return cluster_paths(asked(v).select(F.col("qid").alias("id"), "vec"), index_of(v, 2), B + 1)
+def _paths(levels):
+    def run(spark, sf):
+        v = vectors(spark, sf)
+        return cluster_paths(asked(v).select(F.col("qid").alias("id"), "vec"), index_of(v, levels), B + 1)
+
+    return run
+
+
+QUERIES |= {"cluster_path_scores": _paths(2), "cluster_path_scores_l1": _paths(1), "cluster_path_scores_l3": _paths(3)}
 
 
 @query
@@ -193,15 +210,15 @@ def c2q_lookup(spark, sf):
     return N.lookup(N.visits(q, index, B)).select("cluster_id", F.array_join(F.transform("qids", lambda x: x.cast("string")), ",").alias("qids"))
 
 
-def _approx(levels, b, k=K, limit=None):
+def _approx(levels, b, k=K, limit=None, strategy="auto"):
     def run(spark, sf):
         _, q, index, db = _setup(spark, sf, levels)
-        return N.approx_knn(db, q, index, b, k, limit)
+        return N.approx_knn(db, q, index, b, k, limit, strategy)
 
     return run
 
 
-QUERIES |= {"approx_knn_b1": _approx(2, 1), "approx_knn_b3": _approx(2, B), "approx_knn_l3": _approx(3, B), "approx_knn_limit1000": _approx(2, B, K, 1000), "approx_knn_wide": _approx(1, WIDE_B)}
+QUERIES |= {"approx_knn_shuffle": _approx(1, WIDE_B, strategy="shuffle"), "approx_knn_b1": _approx(2, 1), "approx_knn_b3": _approx(2, B), "approx_knn_l3": _approx(3, B), "approx_knn_limit1000": _approx(2, B, K, 1000), "approx_knn_wide": _approx(1, WIDE_B)}
 
 
 @query
@@ -218,8 +235,50 @@ def approx_recall(spark, sf):
 
 @query
 def batched_knn(spark, sf):
-    _, q, index, db = _setup(spark, sf, 2)
-    return N.batched_knn(db, q, index, B, K, 10).drop("batch")
+    _, q, index, db = _setup(spark, sf, 1, COARSE)
+    return N.batched_knn(db, q, index, COARSE_B, K, 10).drop("batch")
+
+
+@query
+def knn_batches_saved(spark, sf):
+    """Neighbours saved by batch and read again as one table."""
+    _, q, index, db = _setup(spark, sf, 1, COARSE)
+    folder = _folder(spark, "batches")
+    results.save_batches(N.batched_knn(db, q, index, COARSE_B, K, 10), folder)
+    return results.load_batches(spark, folder).drop("batch")
+
+
+@query
+def batches_hubness(spark, sf):
+    """Hubness per batch, merged over a range of the batches saved."""
+    _, q, index, db = _setup(spark, sf, 1, COARSE)
+    folder = _folder(spark, "hubness")
+    knn = N.batched_knn(db, q, index, COARSE_B, K, 10)
+    parts = knn.groupBy("batch", "id").agg(F.count(F.lit(1)).alias("hubness"), F.max("dist").alias("max_dist"))
+    results.save_batches(parts, folder)
+    return H.merge_hubness(results.load_batches(spark, folder, 0, 1 << 30))
+
+
+@query
+def exact_knn_shuffle(spark, sf):
+    v = vectors(spark, sf)
+    return N.exact_knn(v, asked(v), K, strategy="shuffle")
+
+
+@query
+def exact_knn_first_queries(spark, sf):
+    """The sequential scan for the first ten queries only, as a report."""
+    v = vectors(spark, sf)
+    return N.exact_knn(v, S.first_queries(asked(v)), K)
+
+
+@query
+def knn_nested(spark, sf):
+    """Lists as arrays, and whether the query itself and its next id are in them."""
+    v = vectors(spark, sf)
+    lists = T.nested(N.exact_knn(v, asked(v), K))
+    ids = F.array_join(F.transform("neighbours", lambda s: s["id"].cast("string")), ",")
+    return lists.select("qid", ids.alias("ids"), T.contains(F.col("neighbours"), F.col("qid")).alias("own"), T.contains(F.col("neighbours"), F.col("qid") + 1).alias("next"))
 
 
 def _knn(spark, sf) -> DataFrame:
@@ -275,23 +334,24 @@ def no_hub_points(spark, sf):
 
 @query
 def hubness_study(spark, sf):
-    """Neighbours of points that are no hubs, with the hubness of those."""
-    v, q, index, db = _setup(spark, sf, 2)
+    """Neighbours of drawn points that are no hubs, with the hubness of those."""
+    v, q, index, db = _setup(spark, sf, 1, COARSE)
     hubs = H.hubness(N.exact_knn(v, q, K))
-    lone = v.join(H.never_neighbours(v, hubs), "id", "left_semi").select(F.col("id").alias("qid"), "vec")
-    return H.with_hubness(N.approx_knn(db, lone, index, B, K), hubs)
+    drawn = S.absent_ids(spark, STUDY, STUDY_OF, hubs)
+    lone = H.only(v, drawn).select(F.col("id").alias("qid"), "vec")
+    return H.with_hubness(N.approx_knn(db, lone, index, COARSE_B, 100), hubs)
 
 
 @query
 def image_votes(spark, sf):
-    _, q, index, db = _setup(spark, sf)
-    return I.image_votes(db, q, index, B, K)
+    _, q, index, db = _setup(spark, sf, 1, COARSE)
+    return I.image_votes(db, q, index, COARSE_B, K)
 
 
 @query
 def image_votes_topm(spark, sf):
-    _, q, index, db = _setup(spark, sf)
-    return I.search_images(db, q, index, B, K, 4)
+    _, q, index, db = _setup(spark, sf, 1, COARSE)
+    return I.search_images(db, q, index, COARSE_B, K, 4)
 
 
 @query
@@ -317,18 +377,141 @@ def _merged(mode):
 QUERIES |= {f"db_merge_{m}": _merged(m) for m in ("full", "left", "inner")}
 
 
+@query
+def db_extension(spark, sf):
+    """The vectors of other images join a database of half of them."""
+    v = vectors(spark, sf)
+    index = index_of(v, 2)
+    db = A.database(v.where(F.col("image_id") < 5), index).select("cluster_id", "id", "image_id", "vec")
+    return I.extend_database(db, v.where(F.col("image_id") >= 5), index).select("cluster_id", "id", "image_id")
+
+
+@query
+def database_saved_sorted(spark, sf):
+    folder = _folder(spark, "database")
+    A.save_database(_setup(spark, sf, 2)[3], folder, "sorted")
+    return V.read_database(spark, f"{folder}/sorted").select("cluster_id", "id", "image_id")
+
+
+@query
+def database_saved_grouped(spark, sf):
+    folder = _folder(spark, "database")
+    A.save_database(_setup(spark, sf, 2)[3], folder, "grouped")
+    return V.read_database(spark, f"{folder}/grouped", "grouped").select("cluster_id", "id", F.aggregate("vec", F.lit(0), lambda s, x: s + x).alias("total"))
+
+
+@query
+def database_of_several_paths(spark, sf):
+    """Both halves of a database, saved apart; a path given twice counts twice."""
+    db, folder = _setup(spark, sf, 2)[3], _folder(spark, "database")
+    A.save_database(db.where(F.col("image_id") < 5), f"{folder}/a", "sorted")
+    A.save_database(db.where(F.col("image_id") >= 5), f"{folder}/b", "sorted")
+    return V.read_database(spark, f"{folder}/a/sorted--{folder}/b/sorted;{folder}/b/sorted").select("cluster_id", "id")
+
+
+@query
+def index_saved(spark, sf):
+    folder = _folder(spark, "index")
+    V.save_index(index_of(vectors(spark, sf), 2), folder)
+    return V.load_index(spark, folder).edges
+
+
+@query
+def index_from_saved_sample(spark, sf):
+    """A sample of descriptors saved and read in several partitions, leaders drawn from it, the tree over them."""
+    folder = _folder(spark, "sample")
+    V.save_descriptors(vectors(spark, sf).where(F.col("image_id") != 3).select("id", "vec"), folder)
+    return build_tree(sample_leaders(V.load_descriptors(spark, folder, partitions=3), C), 2, TREE_A).edges
+
+
+@query
+def hubness_csv(spark, sf):
+    folder = _folder(spark, "csv")
+    results.write_hubness_csv(H.hubness(_knn(spark, sf)), folder)
+    return spark.read.schema("id bigint, hubness bigint, max_dist bigint").csv(folder)
+
+
+@query
+def inverted_knn_csv(spark, sf):
+    folder, knn = _folder(spark, "csv"), _knn(spark, sf)
+    results.write_inverted_csv(H.with_hubness(knn, H.hubness(knn)), folder)
+    return spark.read.schema("qid bigint, nn_id bigint, dist bigint, hubness bigint, max_dist bigint").csv(folder)
+
+
+@query
+def knn_files(spark, sf):
+    """A file per query: its name and what it holds."""
+    v, folder = vectors(spark, sf), _folder(spark, "knn")
+    results.write_knn_files(N.exact_knn(v, asked(v), K), folder)
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)[.]knn$", 1).alias("name"), F.col("value").alias("body"))
+    return rows
+
+
+@query
+def knn_text_table(spark, sf):
+    """The text blocks as one text table; their lines that have neighbours."""
+    v, folder = vectors(spark, sf), _folder(spark, "text")
+    results.write_knn_text(N.exact_knn(v, asked(v), K), folder)
+    part = F.split("value", " ")
+    return spark.read.text(folder).where(F.size(part) == 3).groupBy(part[0].cast("int").alias("rank"), part[1].cast("bigint").alias("id")).agg(F.sum(part[2].cast("bigint")).alias("dist"))
+
+
+@query
+def ground_truth_text(spark, sf):
+    """Lines of a ground-truth file, without those that do not count."""
+    v, folder = vectors(spark, sf), _folder(spark, "truth")
+    lines = N.exact_knn(v, asked(v), 3).select(F.concat_ws(":", F.col("qid").cast("string"), F.col("rank").cast("string"), F.col("id").cast("string"), F.col("dist").cast("string")).alias("value"))
+    lines.unionByName(spark.range(1).select(F.lit("1000 : 1000").alias("value"))).write.text(folder)
+    return V.ground_truth(spark, folder)
+
+
+@query
+def ground_truth_saved(spark, sf):
+    v, folder = vectors(spark, sf), _folder(spark, "truth")
+    pairs = N.exact_knn(v, asked(v), 1).select(F.col("qid").alias("query_id"), F.col("id").alias("desc_id"))
+    V.save_ground_truth(ground_truth_vectors(pairs, v), folder)
+    return V.load_ground_truth(spark, folder).select("desc_id", "query_id", F.aggregate("vec", F.lit(0), lambda s, x: s + x).alias("total"))
+
+
+@query
+def raw_descriptor_files(spark, sf):
+    """A file of concatenated bytes per image, and one whose size does not fit."""
+    folder = _folder(spark, "raw")
+    rows = vectors(spark, sf).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("points"))
+    for r in rows.toLocalIterator():  # ten images
+        files.write_bytes(spark, f"{folder}/{r['image_id']}.sift", bytes(x & 255 for p in r["points"] for x in p["vec"]))
+    files.write_bytes(spark, f"{folder}/77.sift", b"short")
+    found = V.raw_descriptors(spark, folder, 64)
+    return found.select("key", F.col("id").alias("image_id"), F.aggregate("vec", F.lit(0), lambda s, x: s + x).alias("total"))
+
+
+@query
+def descriptors_with_one_id(spark, sf):
+    """Byte arrays as the descriptors of one image; those of another length drop out."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.substring(F.encode("text", "UTF-8"), 1, 16).alias("content"))
+    return V.with_one_id(rows, 42, 16).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("vec", F.lit(0), lambda s, x: s + x)).alias("total"))
+
+
 @query
 def sample_batch(spark, sf):
-    """A sampling operator: about a tenth of the vectors, by hash."""
-    return vectors(spark, sf).where(F.substring(F.md5(F.col("id").cast("string")), 1, 2) < "1a").select("id")
+    """About a tenth of the vectors, by hash."""
+    v = vectors(spark, sf)
+    return S.sample_upto(v, v.count() // 10).select("id")
+
+
+@query
+def random_ids(spark, sf):
+    return S.random_ids(spark, STUDY, STUDY_OF)
 
 
 @query
 def batch_header_parse(spark, sf):
-    lines = ["3:10:50", "11:20:5000", "x:3:5", "1:5:10", "10:4:1000", "2:20", "", "0:100:9", "5:a:b"]
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("n", "line"))
-    b, k, m = batch_header(F.col("line"))
-    return rows.select("n", b.alias("b"), k.alias("k"), m.alias("m"))
+    """Headers of all kinds, made from the orders."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("n"))
+    part = [F.when(F.col("n") % 7 == i, F.lit(x)).otherwise((F.col("n") % m).cast("string")) for i, (x, m) in enumerate((("x", 14), ("", 40), ("1.5", 1500)))]
+    line = F.when(F.col("n") % 11 == 0, F.concat_ws(":", *part[:2])).otherwise(F.concat_ws(":", *part))
+    b, k, m = batch_header(line)
+    return o.select("n", b.alias("b"), k.alias("k"), m.alias("m"))
 
 
 @query
@@ -349,26 +532,41 @@ def groundtruth_join(spark, sf):
 
 @query
 def kmeans_sizes(spark, sf):
-    return kmeans_histogram(vectors(spark, sf), k=20)
+    return kmeans_histogram(vectors(spark, sf), k=20, iterations=3)
+
+
+def _served(spark, sf, extend: bool) -> DataFrame:
+    """A batch file with all query images through the service; what it wrote."""
+    v, q, index, db = _setup(spark, sf, 1, COARSE)
+    folder = _folder(spark, "service")
+    names = [r["query_image"] for r in q.select("query_image").distinct().orderBy("query_image").collect()]  # a batch file's lines
+    files.write_text(spark, f"{folder}/in/a.batch", "\n".join([f"{COARSE_B}:5:10", *map(str, names)]) + "\n")
+    q = q.withColumn("query_image", F.col("query_image").cast("string"))
+
+    def points(images: DataFrame) -> DataFrame:
+        return images.join(q, "query_image").select("qid", "query_image", "vec")
+
+    few = db.where(F.col("image_id") < 5) if extend else db
+    service = Service(spark, few.select("cluster_id", "id", "image_id", "vec"), index, points, f"{folder}/out")
+    try:
+        if extend:
+            service.extend(v.where(F.col("image_id") >= 5))
+        service.run(f"{folder}/in", once=True)
+    finally:
+        service.close()
+    lines = spark.read.text(f"{folder}/out/a", wholetext=True).where(F.col("_metadata.file_name") != "batch.res")
+    head = F.split_part(F.split_part("value", F.lit("\n"), F.lit(1)), F.lit(":"), F.lit(1)).cast("bigint")
+    rows = lines.select(head.alias("query_image"), F.explode(F.regexp_extract_all("value", F.lit(r"[0-9]+[.]jpg:[0-9]+"), F.lit(0))).alias("x"))
+    part = F.split("x", "[.]jpg:")
+    return stored(rows.select("query_image", part[0].cast("bigint").alias("image_id"), part[1].cast("bigint").alias("votes")), "served")
 
 
 @query
 def stream_search(spark, sf):
-    """A batch file with all query images through the service; what it wrote."""
-    v, q, index, db = _setup(spark, sf)
-    with tempfile.TemporaryDirectory(dir=shared_dir(spark).removeprefix("file://")) as d:
-        box = Path(d, "in")
-        box.mkdir()
-        names = [r["query_image"] for r in q.select("query_image").distinct().orderBy("query_image").collect()]
-        (box / "a.batch").write_text("\n".join(["3:5:10", *map(str, names)]) + "\n")
-
-        def points(images: DataFrame) -> DataFrame:
-            return images.join(q.withColumn("query_image", F.col("query_image").cast("string")), "query_image").select("qid", "query_image", "vec")
-
-        Service(spark, db, index, points, str(Path(d, "out"))).run(str(box), once=True)
-        rows = []
-        for f in sorted(Path(d, "out", "a").glob("*.res")):
-            if f.name != "batch.res":
-                head, *lines = f.read_text().split()
-                rows += [(int(head.split(":")[0]), int(x.split(".")[0]), int(x.split(":")[1])) for x in lines]
-    return spark.createDataFrame(rows, "query_image bigint, image_id bigint, votes bigint")
+    return _served(spark, sf, False)
+
+
+@query
+def stream_search_extended(spark, sf):
+    """The service starts with half of the images and takes in the others."""
+    return _served(spark, sf, True)

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import shutil
 import time
 from html import escape
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecgrove.operators.topk import as_text
+from vecgrove.sources import files
 
 
 def write_knn_files(knn: DataFrame, folder: str, suffix: str = ".knn") -> int:
     """One file ``<qid><suffix>`` per query, with its text block; ids have three digits at least."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    files.make_folder(knn.sparkSession, folder)
     n = 0
     for n, r in enumerate(as_text(knn).toLocalIterator(), 1):
-        Path(folder, f"{r['qid']:03d}{suffix}").write_text(r["body"] + "\n")
+        files.write_text(knn.sparkSession, f"{folder}/{r['qid']:03d}{suffix}", r["body"] + "\n")
     return n
 
 
@@ -39,12 +39,20 @@ def save_batches(table: DataFrame, path: str) -> None:
     table.write.partitionBy("batch").parquet(path)
 
 
-def image_folder(folder: str) -> Path:
+def load_batches(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """All batches of a table as one, or those from ``first`` up to, but without, ``last``; others are not read."""
+    df = spark.read.parquet(path)
+    if first is not None:
+        df = df.where(F.col("batch") >= first)
+    if last is not None:
+        df = df.where(F.col("batch") < last)
+    return df
+
+
+def image_folder(spark: SparkSession, folder: str) -> str:
     """The folder, or one with the time added where it exists."""
-    out = Path(folder)
-    if out.exists():
-        out = Path(f"{folder}_{int(time.time() * 1000)}")
-    out.mkdir(parents=True)
+    out = f"{folder}_{int(time.time() * 1000)}" if files.exists(spark, folder) else folder
+    files.make_folder(spark, out)
     return out
 
 
@@ -54,7 +62,8 @@ def write_image_results(found: DataFrame, folder: str, b: int, k: int, m: int, s
     A result file is named by the image's path with ``#`` for ``/``: header path:points:, then
     ``<db_folder><id>.jpg:<votes>:`` by descending votes.
     """
-    out = image_folder(folder)
+    spark = found.sparkSession
+    out = image_folder(spark, folder)
     rows = (
         found.groupBy("query_image")
         .agg(F.max("n_points").alias("n_points"), F.array_sort(F.collect_list(F.struct("rank", "image_id", "votes"))).alias("images"))
@@ -62,12 +71,12 @@ def write_image_results(found: DataFrame, folder: str, b: int, k: int, m: int, s
     )
     paths = []
     for r in rows.toLocalIterator():
-        path = out / (str(r["query_image"]).replace("/", "#") + ".res")
+        path = f"{out}/{str(r['query_image']).replace('/', '#')}.res"
         lines = [f"{r['query_image']}:{r['n_points']}:"] + [f"{db_folder}{i['image_id']}.jpg:{i['votes']}:" for i in r["images"]]
-        path.write_text("\n".join(lines) + "\n")
-        paths.append(str(path))
-    (out / "batch.res").write_text("\n".join([f"{b}:{k}:{m}:{len(paths)}:{seconds:.3f}:", *paths]) + "\n")
-    return out
+        files.write_text(spark, path, "\n".join(lines) + "\n")
+        paths.append(path)
+    files.write_text(spark, f"{out}/batch.res", "\n".join([f"{b}:{k}:{m}:{len(paths)}:{seconds:.3f}:", *paths]) + "\n")
+    return Path(out)
 
 
 def read_batch_header(line: str) -> dict[str, float]:
@@ -83,9 +92,9 @@ def result_page(query: str, images: list[tuple[str, int]]) -> str:
     return f'<!DOCTYPE html><html><body><img src="{escape(query)}"><hr>{cells}</body></html>'
 
 
-def move_into_database(path: str, number: int, folder: str, move: bool = False) -> str:
-    """Where an image lies as part of the database; it is moved there only on demand."""
-    target = str(Path(folder, f"{number}.jpg"))
-    if move:
-        shutil.move(path, target)
+def move_into_database(path: str, number: int, folder: str, spark: SparkSession | None = None) -> str:
+    """Where an image lies as part of the database; given a session it is moved there, and a failure is printed."""
+    target = f"{folder}/{number}.jpg"
+    if spark is not None and not files.move(spark, path, target):
+        print(f"cannot move {path} to {target}")
     return target

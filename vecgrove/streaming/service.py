@@ -3,24 +3,31 @@
 A batch file ``*.batch`` has a header ``b:k:m`` and then a line per query image. ``halt.batch`` stops the
 service; ``save.batch`` (``parquet`` and a path on two lines) writes the database. A batch whose last
 image's name starts with 999 is searched by bags of features. Batches are read by Structured Streaming,
-one file per trigger; the checkpoint of the stream makes a restart go on where it ended, and a batch file
-is removed once its results are written.
+one file per trigger. The stream's checkpoint lies in the shared folder under a name that the folder of
+batches and that of results give, so a service started again goes on where the last one ended and answers
+no batch twice; a batch's name is therefore used once. A batch file is removed, on whatever file system it
+lies, once its results are written. The database is kept on the executors' disks and its bags in memory
+from the first batch on, until ``close``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
+from urllib.parse import unquote
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecgrove.functions.parsing import batch_header
-from vecgrove.operators.images import bag_of_features, bag_votes, image_votes
+from vecgrove.operators.images import bag_of_features, bag_votes, extend_database, image_votes
 from vecgrove.operators.topk import shortlist
 from vecgrove.operators.tree import Index
+from vecgrove.sources import files
 from vecgrove.sources.results import write_image_results
 from vecgrove.sources.shared import shared_dir
 
@@ -43,7 +50,23 @@ class Service:
     bags: DataFrame = field(init=False)
 
     def __post_init__(self) -> None:
-        self.bags = bag_of_features(self.db)
+        self._keep(self.db)
+
+    def _keep(self, db: DataFrame) -> None:
+        self.db = db.persist(StorageLevel.DISK_ONLY)
+        self.bags = bag_of_features(self.db).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        self.bags.unpersist()
+        self.db.unpersist()
+
+    def extend(self, points: DataFrame, mode: str = "full") -> None:
+        """Take the points of new images, (id, image_id, vec), into the database and keep the result."""
+        old, bags = self.db, self.bags
+        self._keep(extend_database(old, points, self.index, mode))
+        self.db.count()
+        bags.unpersist()
+        old.unpersist()
 
     def search(self, images: DataFrame, b: int, k: int, m: int, by_bags: bool) -> DataFrame:
         points = self.points_of(images)
@@ -70,24 +93,23 @@ class Service:
         by_bags = lines[-1].rsplit("/", 1)[-1].startswith(BAG_PREFIX)
         began = time.time()
         found = self.search(images, head["b"], head["k"], head["m"], by_bags)
-        folder = str(Path(self.result_folder, name.removesuffix(".batch")))
+        folder = f"{self.result_folder}/{name.removesuffix('.batch')}"
         return write_image_results(found, folder, head["b"], head["k"], head["m"], time.time() - began, self.db_folder)
 
     def _each(self, batch: DataFrame, _: int) -> None:
         for r in batch.collect():  # one file
-            self.answer(r["file"].rsplit("/", 1)[-1], r["value"])
+            path = unquote(r["file"])
+            self.answer(path.rsplit("/", 1)[-1], r["value"])
             if self.remove:
-                Path(r["file"].removeprefix("file:").replace("///", "/")).unlink(missing_ok=True)
+                files.delete(self.spark, path)
 
     def _halt(self, folder: str) -> None:
         """A halt file is empty as a rule, and an empty file makes no row of the stream: look for it."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/halt.batch")
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if store.exists(path):
+        path = f"{folder}/halt.batch"
+        if files.exists(self.spark, path):
             self.halted = True
             if self.remove:
-                store.delete(path, False)
+                files.delete(self.spark, path)
 
     def run(self, folder: str, once: bool = False, every: str = "1 second") -> None:
         """Answer what the folder has and, unless ``once``, what comes, until told to halt."""
@@ -99,7 +121,8 @@ class Service:
             .load(folder)
             .select("value", F.col("_metadata.file_path").alias("file"))
         )
-        mark = f"{shared_dir(self.spark)}/service-{abs(hash(folder))}-{time.time_ns()}"
+        name = hashlib.sha256(f"{folder}\n{self.result_folder}".encode()).hexdigest()[:20]
+        mark = f"{shared_dir(self.spark)}/service-{name}"
         writer = stream.writeStream.foreachBatch(self._each).option("checkpointLocation", mark)
         query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
         try:
