@@ -47,3 +47,10 @@ def delete(spark: SparkSession, path: str, recursive: bool = False) -> None:
 def move(spark: SparkSession, path: str, target: str) -> bool:
     store, p = _at(spark, path)
     return store.exists(p) and store.rename(p, _at(spark, target)[1])
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder, made now, when the driver's JVM ends."""
+    store, p = _at(spark, path)
+    store.mkdirs(p)
+    store.deleteOnExit(p)

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecgrove.sources import files
+
 #: Tables of at most this many short rows are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 
 
-def shared_dir(spark: SparkSession) -> str:
+def base_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only a single-JVM session without one gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -29,11 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Folders of applications that are removed when their driver ends.
+_LEAVING: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder among the shared ones; it goes when the driver's JVM ends."""
+    path = f"{base_dir(spark)}/vecgrove-{spark.sparkContext.applicationId}"
+    if path not in _LEAVING:
+        _LEAVING.add(path)
+        files.delete_at_end(spark, path)
+    return path
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what ``stored`` wrote, once nothing reads it any more."""
+    files.delete(df.sparkSession, df._stored_at, recursive=True)
 
 
 def sendable(small: DataFrame) -> DataFrame:

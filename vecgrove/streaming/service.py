@@ -29,7 +29,7 @@ from vecgrove.operators.topk import shortlist
 from vecgrove.operators.tree import Index
 from vecgrove.sources import files
 from vecgrove.sources.results import write_image_results
-from vecgrove.sources.shared import shared_dir
+from vecgrove.sources.shared import base_dir
 
 #: Names of batches that go to the bag of features start so.
 BAG_PREFIX = "999"
@@ -122,7 +122,7 @@ class Service:
             .select("value", F.col("_metadata.file_path").alias("file"))
         )
         name = hashlib.sha256(f"{folder}\n{self.result_folder}".encode()).hexdigest()[:20]
-        mark = f"{shared_dir(self.spark)}/service-{name}"
+        mark = f"{base_dir(self.spark)}/service-{name}"
         writer = stream.writeStream.foreachBatch(self._each).option("checkpointLocation", mark)
         query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
         try:
