@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.sources.shared import shared_dir
+from vecgrove.sources.shared import forget, stored
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,18 +29,6 @@ def kept(name: str, make: Callable[[], Any] = lambda: None) -> Any:
 _LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def store_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = store_path(spark, tag)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of an Arrow batch of texts; Spark's own 10,000 can be hundreds of megabytes of them.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

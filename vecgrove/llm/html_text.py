@@ -16,7 +16,7 @@ Both passes keep their own stacks, so deep nesting does not exhaust the interpre
 are linear in the page, but for tables with many cells of different ``rowspan`` beside each other.
 
 Defined results: null or empty html gives the empty text; unclosed and stray tags are repaired, never
-an error. Repeated rows get the same text. Empty tables give no rows. Other columns are ignored.
+an error; bytes that are no UTF-8 are replacement characters. Repeated rows get the same text. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -394,14 +394,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [html_to_text(t.as_py()) for t in b.column(1)]
+            texts = [html_to_text((t.as_py() or b"").decode("utf-8", "replace")) for t in b.column(1)]
             lines = [t.count("\n") + 1 if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(lines, pa.int64())],
                 ["id", "text", "n_chars", "n_lines"],
             )
 
-    picked = pages.select(pages[id_col].cast("bigint").alias("id"), pages[html_col].alias("html"))
+    picked = pages.select(pages[id_col].cast("bigint").alias("id"), pages[html_col].cast("binary").alias("html"))
     return batched(picked).mapInArrow(run, "id bigint, text string, n_chars bigint, n_lines bigint")
 
 

@@ -13,7 +13,8 @@ A sequence is padded to ``capacity`` except at a length that is a power of two (
 The vocabulary drops white space and never joins across it, so a text's ids are those of its words in
 turn; each worker remembers the ids of words it has seen.
 
-Defined results: null text counts as empty and gives one piece with the end id only. Repeated rows
+Defined results: null text counts as empty and gives one piece with the end id only; bytes that are no
+UTF-8 are replacement characters. Repeated rows
 are packed each by itself. Empty tables give no rows. Other columns are ignored.
 """
 
@@ -66,7 +67,7 @@ class Ids:
         self.stops = {ord(c): v for c, v in self.stops.items()}
 
     def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
         known, stops, after = self.known, self.stops, []
@@ -82,7 +83,7 @@ class Ids:
         for w in plain.difference(words):
             known[w] = self._encode(w)
         if words:
-            text = f" {_PART} ".join([w.decode() for w in words])
+            text = f" {_PART} ".join([w.decode("utf-8", "replace") for w in words])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.part)
             if len(cuts) != len(words) - 1:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import batched, hash_sample, join_counted, lower_bytes, sendable, stored, table
+from vecgrove.llm.common import batched, forget, hash_sample, join_counted, lower_bytes, sendable, stored, table
 
 #: Distinct fingerprints that steer masks; the result does not depend on it.
 SAMPLE = 16_384
@@ -348,7 +348,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "small-star")
+        done, edges = edges, stored(small, "small-star")
+        forget(done)
+        forget(large)
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -13,7 +13,8 @@ bound, met by very long texts only). Every document is scored from its whole tex
 
 Defined results: null or empty text has only the bias. Labels without a document, or null labels, are
 ignored; several labels of a document count as toxic if one says so. Without any training row every
-score is 0 (to within 1e-15). Repeated rows get the same score. Empty tables give no rows. Other columns are ignored.
+score is 0 (to within 1e-15). Bytes that are
+no UTF-8 count as replacement characters. Repeated rows get the same score. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,6 +69,10 @@ class Hasher:
         return (np.concatenate(parts) >> self.shift).astype(np.int32)
 
 
+def _text(raw: bytes | None) -> str | None:
+    return None if raw is None else raw.decode("utf-8", "replace")
+
+
 @dataclass
 class Model:
     bits: int
@@ -131,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = kept(f"toxicity {bits}", lambda: Hasher(bits))
         for b in batches:
-            x = [np.unique(hashed(t.as_py())).tobytes() for t in b.column(1)]
+            x = [np.unique(hashed(_text(t.as_py()))).tobytes() for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array(x, pa.binary())], ["id", "label", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +174,8 @@ def _scorer(sent: Broadcast) -> Callable[[pa.Array], np.ndarray]:
 
     def run(texts: pa.Array) -> np.ndarray:
         out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            x = hashed(t.as_py())
+        for i, t in enumerate(texts.cast(pa.binary())):
+            x = hashed(_text(t.as_py()))
             x = np.unique(x[w[x] != 0])
             out[i] = own.bias + float(w[x].sum(dtype=np.float64))
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
