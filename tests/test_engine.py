@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vecgrove.operators import assign as A
@@ -152,6 +153,25 @@ def test_index_too_large_to_send(spark, monkeypatch):
     assert a == sorted(tree.descend(v, index.leaders, index.edges, 2, 2).select("id", "rank", "cluster_id").collect())
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_index_dealt_in_parts(spark, monkeypatch, levels):
+    """With all levels, the upper ones or none sent, repeated rows and pieces of any size: the same rows; queries too."""
+    import vecgrove.operators.tree as tree
+
+    _, v = random_vectors(spark, 200, 3, 6)
+    index = build_tree(sample_leaders(v, 30), levels, 3)
+    v = v.unionByName(v.limit(20)).withColumn("extra", F.lit("x"))
+    q = v.limit(25).withColumnRenamed("id", "qid")
+    want = sorted(map(str, descend(v, index.leaders, index.edges, levels, 3).collect()))
+    asked = sorted(map(str, N.visits(q, index, 2).collect()))
+    monkeypatch.setattr(N, "POINTS", 7)
+    monkeypatch.setattr(N, "VISITS", 9)
+    for most in (600, 0):
+        monkeypatch.setattr(tree, "MAX_INDEX_BYTES", most)
+        assert sorted(map(str, tree.descend(v, index.leaders, index.edges, levels, 3).collect())) == want
+        assert sorted(map(str, N.visits(q, index, 2).collect())) == asked
+
+
 def test_flat_index_with_all_clusters_is_exact_and_recall_grows(spark, sf):
     from vecgrove.plans.queries import _setup
 
@@ -187,6 +207,13 @@ def test_vote_pruning_and_shortlist(spark):
     assert [(r["query_image"], r["image_id"], r["votes"]) for r in got] == [("a", 0, 2), ("a", 1, 2), ("b", 1, 1), ("b", 2, 1)]
 
 
+def test_lookup_pieces(spark):
+    seen = spark.createDataFrame([(i % 2, i) for i in range(100)], "cluster_id bigint, qid bigint")
+    pieces = N.lookup(seen, piece=10).collect()
+    assert len(pieces) > 4 and sorted(q for r in pieces for q in r["qids"]) == list(range(100))
+    assert all(q % 2 == r["cluster_id"] for r in pieces for q in r["qids"]) and len(N.lookup(seen).collect()) == 2
+
+
 def test_grouped_pieces(spark):
     db = spark.createDataFrame([(i % 2, i, [i]) for i in range(100)], "cluster_id bigint, id bigint, vec array<int>")
     pieces = A.grouped(db, piece=10)

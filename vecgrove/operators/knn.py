@@ -207,9 +207,11 @@ def visits(queries: DataFrame, index: Index, b: int) -> DataFrame:
     return descend(queries.select("qid", "vec"), index.leaders, index.edges, index.levels, b).select("cluster_id", "qid", "vec", "rank")
 
 
-def lookup(assigned: DataFrame) -> DataFrame:
-    """The queries of each cluster, as an array."""
-    return assigned.groupBy("cluster_id").agg(F.array_sort(F.collect_list("qid")).alias("qids"))
+def lookup(assigned: DataFrame, piece: int = 4096) -> DataFrame:
+    """The queries of each cluster, as an array; those of a cluster that many visit come in several pieces of about ``piece``."""
+    sizes = assigned.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / piece).alias("pieces"))
+    dealt = assigned.join(sendable(sizes), "cluster_id").withColumn("piece", F.pmod(F.xxhash64("qid"), F.col("pieces")).cast("int"))
+    return dealt.groupBy("cluster_id", "piece").agg(F.array_sort(F.collect_list("qid")).alias("qids"))
 
 
 def approx_knn(db: DataFrame, queries: DataFrame, index: Index, b: int, k: int, limit: int | None = None, strategy: str = "auto") -> DataFrame:

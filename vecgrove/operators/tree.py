@@ -9,7 +9,9 @@ the nearest child level by level and takes the n nearest in one bottom bucket.
 
 ``descend`` runs on the executors with the index broadcast, after a check that it fits
 ``MAX_INDEX_BYTES``: no shuffle, and a cluster that attracts a third of all rows costs nothing extra.
-Beyond that bound ``descend_joins`` gives the same rows by a join and a top-n window per level.
+Beyond that bound ``descend_dealt`` sends the upper levels only, as many as fit, and deals points and
+children of the last one by node, in pieces where a node has many. ``descend_joins`` gives the same rows by
+expressions alone, with a join and a top-n window per level.
 """
 
 from __future__ import annotations
@@ -123,7 +125,7 @@ def descend(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int
     """Columns of ``points`` (with ``vec``) and rank, cluster_id, cluster_dist: the n nearest leaders of the bucket reached."""
     index = packed(leaders, edges, levels)
     if index is None:
-        return descend_joins(points, leaders, edges, levels, n)
+        return descend_dealt(points, leaders, edges, levels, n)
     sent = points.sparkSession.sparkContext.broadcast(index)
     names = points.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", rank int, cluster_id bigint, cluster_dist bigint"
@@ -141,6 +143,26 @@ def descend(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int
     return points.mapInArrow(run, schema)
 
 
+def descend_dealt(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int, n: int) -> DataFrame:
+    """The rows of ``descend``; the last level's nodes meet their points in tasks, where the index is too large to be sent."""
+    from vecgrove.operators.knn import scan  # a search in the bottom buckets
+
+    row = f"_row{levels}"  # the levels above number their rows too
+    rows = stored(points.withColumn(row, F.monotonically_increasing_id()), "points")
+    at = rows.select(row, "vec")
+    if levels == 1:
+        asked = at.withColumn("cluster_id", F.lit(-1).cast("bigint"))
+    else:
+        upper = edges.where(F.col("level") < levels)
+        nodes = stored(leaders.join(upper.select(F.col("child").alias("leader_id")).distinct(), "leader_id", "left_semi"), "upper-leaders")
+        asked = descend(at, nodes, upper, levels - 1, 1).select(row, "vec", "cluster_id")
+    children = edges.where(F.col("level") == levels).select(F.col("parent").alias("cluster_id"), F.col("child").alias("id"))
+    children = children.join(leaders.select(F.col("leader_id").alias("id"), "vec"), "id")
+    found = scan(children, asked.withColumnRenamed(row, "qid"), n, strategy="shuffle")
+    found = found.select(F.col("qid").alias(row), "rank", F.col("id").alias("cluster_id"), F.col("dist").alias("cluster_dist"))
+    return rows.join(found, row).select(*points.columns, "rank", "cluster_id", "cluster_dist")
+
+
 def descend_joins(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int, n: int, key: str = "id") -> DataFrame:
     """The rows of ``descend`` by a join and a top-n window per level; ``key`` is unique in points."""
     at = points.withColumn("_node", F.lit(-1).cast("bigint"))
