@@ -143,6 +143,22 @@ def test_descent_equals_joins(spark, levels):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_children_compared_some_at_a_time(spark, levels):
+    import vecgrove.operators.tree as tree
+
+    x, v = random_vectors(spark, 300, 2, 12, -3, 3)  # many ties
+    index = build_tree(sample_leaders(v, 60), levels, 2)
+    held = tree.packed(index.leaders, index.edges, levels)
+    want = [c.tolist() for c in held.search(x.astype(float), 5, levels)]
+    for some in (1, 7, 59):
+        tree._KIDS, before = some, tree._KIDS
+        try:
+            assert sorted(zip(*held.search(x.astype(float), 5, levels), strict=True)) == sorted(zip(*want, strict=True))
+        finally:
+            tree._KIDS = before
+
+
 def test_index_too_large_to_send(spark, monkeypatch):
     import vecgrove.operators.tree as tree
 

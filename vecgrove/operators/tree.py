@@ -31,7 +31,8 @@ from vecgrove.operators.topk import top
 from vecgrove.sources.shared import numbered, stored
 
 MAX_INDEX_BYTES = 512 << 20
-EDGES = "level int, parent bigint, child bigint"
+#: Children of a node that are compared at once.
+_KIDS = 1 << 15
 
 
 @dataclass
@@ -70,28 +71,38 @@ class Packed:
         at = np.searchsorted(self.ids, leaders)
         return (x * x).sum(1)[:, None] + self.norms[at][None, :] - 2 * x @ self.vectors[at].astype(np.float64).T
 
+    def nearest(self, x: np.ndarray, kids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n nearest of ``kids``, which ascend, and their distances; some kids at a time, ties go to the smallest."""
+        found, dist = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))
+        for at in range(0, len(kids), _KIDS):
+            some = kids[at : at + _KIDS]
+            d = np.concatenate((dist, self.distances(x, some)), axis=1)
+            k = np.concatenate((found, np.broadcast_to(some, (len(x), len(some)))), axis=1)
+            pick = d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+            found, dist = np.take_along_axis(k, pick, 1), np.take_along_axis(d, pick, 1)
+        return found, dist
+
     def search(self, x: np.ndarray, n: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, rank, leader and distance of the n nearest in the bucket that each row of x reaches."""
         node = np.full(len(x), -1, np.int64)
         out = []
         for level in range(levels):
             last = level == levels - 1
-            step = np.empty(len(x), np.int64)
+            step = np.full(len(x), -2, np.int64)  # a node without children has no bucket
             for parent in np.unique(node):
                 rows = np.flatnonzero(node == parent)
                 kids = self.children[level].get(int(parent), np.zeros(0, np.int64))
-                for part in np.array_split(rows, max(1, len(rows) * max(1, len(kids)) // 4_000_000 + 1)):
-                    d = self.distances(x[part], kids)
-                    if not last:
-                        step[part] = kids[d.argmin(1)]  # kids ascend: ties go to the smallest
-                        continue
-                    m = min(n, len(kids))
-                    pick = np.argsort(d, axis=1, kind="stable")[:, :m]
-                    out.append(
-                        (np.repeat(part, m), np.tile(np.arange(1, m + 1), len(part)), kids[pick].ravel(), np.take_along_axis(d, pick, 1).ravel().astype(np.int64))
-                    )
+                if not len(kids):
+                    continue
+                for part in np.array_split(rows, len(rows) * min(len(kids), _KIDS) // 4_000_000 + 1):
+                    found, dist = self.nearest(x[part], kids, n if last else 1)
+                    if last:
+                        m = found.shape[1]
+                        out.append((np.repeat(part, m), np.tile(np.arange(1, m + 1), len(part)), found.ravel(), dist.ravel().astype(np.int64)))
+                    else:
+                        step[part] = found[:, 0]
             node = step
-        return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def packed(leaders: DataFrame, edges: DataFrame, levels: int) -> Packed | None:
