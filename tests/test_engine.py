@@ -169,8 +169,22 @@ def test_index_too_large_to_send(spark, monkeypatch):
     assert a == sorted(tree.descend(v, index.leaders, index.edges, 2, 2).select("id", "rank", "cluster_id").collect())
 
 
+def test_beam_over_all_nodes_is_the_flat_search(spark):
+    _, v = random_vectors(spark, 300, 3, 6)
+    index = build_tree(sample_leaders(v, 30), 3, 2)
+    flat = build_tree(sample_leaders(v, 30), 1)
+    want = sorted(descend(v, flat.leaders, flat.edges, 1, 7).select("id", "rank", "cluster_id", "cluster_dist").collect())
+    assert sorted(descend(v, index.leaders, index.edges, 3, 7, beam=30).select("id", "rank", "cluster_id", "cluster_dist").collect()) == want
+
+
+def test_deep_tree_finds_nine_in_ten(spark, sf):
+    got = {r["beam"]: r["recall"] for r in registry.QUERIES["deep_recall"](spark, sf).collect()}
+    assert got[1] < got[3] < got[7] and got[7] >= 0.9
+
+
+@pytest.mark.parametrize("beam", [1, 3])
 @pytest.mark.parametrize("levels", [1, 2, 3])
-def test_index_dealt_in_parts(spark, monkeypatch, levels):
+def test_index_dealt_in_parts(spark, monkeypatch, levels, beam):
     """With all levels, the upper ones or none sent, repeated rows and pieces of any size: the same rows; queries too."""
     import vecgrove.operators.tree as tree
 
@@ -178,14 +192,14 @@ def test_index_dealt_in_parts(spark, monkeypatch, levels):
     index = build_tree(sample_leaders(v, 30), levels, 3)
     v = v.unionByName(v.limit(20)).withColumn("extra", F.lit("x"))
     q = v.limit(25).withColumnRenamed("id", "qid")
-    want = sorted(map(str, descend(v, index.leaders, index.edges, levels, 3).collect()))
-    asked = sorted(map(str, N.visits(q, index, 2).collect()))
+    want = sorted(map(str, descend(v, index.leaders, index.edges, levels, 3, beam).collect()))
+    asked = sorted(map(str, N.visits(q, index, 2, beam).collect()))
     monkeypatch.setattr(N, "POINTS", 7)
     monkeypatch.setattr(N, "VISITS", 9)
     for most in (600, 0):
         monkeypatch.setattr(tree, "MAX_INDEX_BYTES", most)
-        assert sorted(map(str, tree.descend(v, index.leaders, index.edges, levels, 3).collect())) == want
-        assert sorted(map(str, N.visits(q, index, 2).collect())) == asked
+        assert sorted(map(str, tree.descend(v, index.leaders, index.edges, levels, 3, beam).collect())) == want
+        assert sorted(map(str, N.visits(q, index, 2, beam).collect())) == asked
 
 
 def test_flat_index_with_all_clusters_is_exact_and_recall_grows(spark, sf):

@@ -202,9 +202,9 @@ def exact_knn_columns(db: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def visits(queries: DataFrame, index: Index, b: int) -> DataFrame:
-    """cluster_id, qid, vec, rank: the clusters that each query visits, b at most."""
-    return descend(queries.select("qid", "vec"), index.leaders, index.edges, index.levels, b).select("cluster_id", "qid", "vec", "rank")
+def visits(queries: DataFrame, index: Index, b: int, beam: int = 1) -> DataFrame:
+    """cluster_id, qid, vec, rank: the clusters that each query visits, b at most, from ``beam`` buckets."""
+    return descend(queries.select("qid", "vec"), index.leaders, index.edges, index.levels, b, beam).select("cluster_id", "qid", "vec", "rank")
 
 
 def lookup(assigned: DataFrame, piece: int = 4096) -> DataFrame:
@@ -214,12 +214,12 @@ def lookup(assigned: DataFrame, piece: int = 4096) -> DataFrame:
     return dealt.groupBy("cluster_id", "piece").agg(F.array_sort(F.collect_list("qid")).alias("qids"))
 
 
-def approx_knn(db: DataFrame, queries: DataFrame, index: Index, b: int, k: int, limit: int | None = None, strategy: str = "auto") -> DataFrame:
-    """k nearest among the points of the b clusters nearest to each query.
+def approx_knn(db: DataFrame, queries: DataFrame, index: Index, b: int, k: int, limit: int | None = None, strategy: str = "auto", beam: int = 1) -> DataFrame:
+    """k nearest among the points of the b clusters nearest to each query, of those in ``beam`` buckets of the tree.
 
     ``limit``: k nearest of each cluster first, then the ``limit`` nearest of those.
     """
-    seen = visits(queries, index, b)
+    seen = visits(queries, index, b, beam)
     if limit is None:
         return scan(db, seen, k, strategy=strategy).select("qid", "rank", "id", "dist")
     return top_k(scan(db, seen, k, per_cluster=True, strategy=strategy), limit).select("qid", "rank", "id", "dist")

@@ -82,27 +82,31 @@ class Packed:
             found, dist = np.take_along_axis(k, pick, 1), np.take_along_axis(d, pick, 1)
         return found, dist
 
-    def search(self, x: np.ndarray, n: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, rank, leader and distance of the n nearest in the bucket that each row of x reaches."""
-        node = np.full(len(x), -1, np.int64)
-        out = []
+    def search(self, x: np.ndarray, n: int, levels: int, beam: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, rank, leader and distance of the n nearest in the buckets that each row of x reaches, ``beam`` nodes a level."""
+        row, node = np.arange(len(x)), np.full(len(x), -1, np.int64)
         for level in range(levels):
-            last = level == levels - 1
-            step = np.full(len(x), -2, np.int64)  # a node without children has no bucket
+            most = n if level == levels - 1 else beam
+            out = [(row[:0], node[:0], np.zeros(0))]
             for parent in np.unique(node):
-                rows = np.flatnonzero(node == parent)
+                rows = row[node == parent]
                 kids = self.children[level].get(int(parent), np.zeros(0, np.int64))
                 if not len(kids):
                     continue
                 for part in np.array_split(rows, len(rows) * min(len(kids), _KIDS) // 4_000_000 + 1):
-                    found, dist = self.nearest(x[part], kids, n if last else 1)
-                    if last:
-                        m = found.shape[1]
-                        out.append((np.repeat(part, m), np.tile(np.arange(1, m + 1), len(part)), found.ravel(), dist.ravel().astype(np.int64)))
-                    else:
-                        step[part] = found[:, 0]
-            node = step
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+                    found, dist = self.nearest(x[part], kids, most)
+                    out.append((np.repeat(part, found.shape[1]), found.ravel(), dist.ravel()))
+            row, node, dist = (np.concatenate(c) for c in zip(*out, strict=True))
+            if beam > 1:  # a leader may hang under several of the nodes
+                order = np.lexsort((node, row))
+                once = order[np.append(True, (np.diff(row[order]) != 0) | (np.diff(node[order]) != 0))[: len(order)]]
+                row, node, dist = row[once], node[once], dist[once]
+            order = np.lexsort((node, dist, row))
+            row, node, dist = row[order], node[order], dist[order]
+            first = np.searchsorted(row, row)
+            rank = np.arange(len(row)) - first
+            row, node, dist, rank = (c[rank < most] for c in (row, node, dist, rank))
+        return row, rank + 1, node, dist.astype(np.int64)
 
 
 def packed(leaders: DataFrame, edges: DataFrame, levels: int) -> Packed | None:
@@ -132,11 +136,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def descend(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int, n: int) -> DataFrame:
-    """Columns of ``points`` (with ``vec``) and rank, cluster_id, cluster_dist: the n nearest leaders of the bucket reached."""
+def descend(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int, n: int, beam: int = 1) -> DataFrame:
+    """Columns of ``points`` (with ``vec``) and rank, cluster_id, cluster_dist: the n nearest leaders of the bucket reached.
+
+    With a ``beam`` so many nodes are followed on each level, and the n nearest come from all their buckets.
+    """
     index = packed(leaders, edges, levels)
     if index is None:
-        return descend_dealt(points, leaders, edges, levels, n)
+        return descend_dealt(points, leaders, edges, levels, n, beam)
     sent = points.sparkSession.sparkContext.broadcast(index)
     names = points.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", rank int, cluster_id bigint, cluster_dist bigint"
@@ -145,7 +152,7 @@ def descend(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int
         for b in batches:
             if not b.num_rows:
                 continue
-            row, rank, cluster, dist = sent.value.search(matrix(b.column(names.index("vec"))), n, levels)
+            row, rank, cluster, dist = sent.value.search(matrix(b.column(names.index("vec"))), n, levels, beam)
             kept = b.take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(rank.astype(np.int32)), pa.array(cluster.astype(np.int64)), pa.array(dist)], [*names, "rank", "cluster_id", "cluster_dist"]
@@ -154,7 +161,7 @@ def descend(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int
     return points.mapInArrow(run, schema)
 
 
-def descend_dealt(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int, n: int) -> DataFrame:
+def descend_dealt(points: DataFrame, leaders: DataFrame, edges: DataFrame, levels: int, n: int, beam: int = 1) -> DataFrame:
     """The rows of ``descend``; the last level's nodes meet their points in tasks, where the index is too large to be sent."""
     from vecgrove.operators.knn import scan  # a search in the bottom buckets
 
@@ -166,10 +173,10 @@ def descend_dealt(points: DataFrame, leaders: DataFrame, edges: DataFrame, level
     else:
         upper = edges.where(F.col("level") < levels)
         nodes = stored(leaders.join(upper.select(F.col("child").alias("leader_id")).distinct(), "leader_id", "left_semi"), "upper-leaders")
-        asked = descend(at, nodes, upper, levels - 1, 1).select(row, "vec", "cluster_id")
+        asked = descend(at, nodes, upper, levels - 1, beam, beam).select(row, "vec", "cluster_id")
     children = edges.where(F.col("level") == levels).select(F.col("parent").alias("cluster_id"), F.col("child").alias("id"))
     children = children.join(leaders.select(F.col("leader_id").alias("id"), "vec"), "id")
-    found = scan(children, asked.withColumnRenamed(row, "qid"), n, strategy="shuffle")
+    found = scan(children, asked.withColumnRenamed(row, "qid"), n, dedup=beam > 1, strategy="shuffle")
     found = found.select(F.col("qid").alias(row), "rank", F.col("id").alias("cluster_id"), F.col("dist").alias("cluster_dist"))
     return rows.join(found, row).select(*points.columns, "rank", "cluster_id", "cluster_dist")
 

@@ -30,6 +30,8 @@ from vecgrove.streaming.service import Service
 C, TREE_A, B, K = 60, 3, 3, 5
 #: Clusters per query with which the flat index finds nine in ten exact neighbours of this data.
 WIDE_B = 48
+#: Nodes per level with which a deep tree does so too.
+BEAM = 7
 QUERY_STEP = 20
 #: A coarse index for results: of 12 clusters, 10 (the most that a batch header may ask for) hold over nine in ten exact neighbours.
 COARSE, COARSE_B = 12, 10
@@ -210,29 +212,39 @@ def c2q_lookup(spark, sf):
     return N.lookup(N.visits(q, index, B)).select("cluster_id", F.array_join(F.transform("qids", lambda x: x.cast("string")), ",").alias("qids"))
 
 
-def _approx(levels, b, k=K, limit=None, strategy="auto"):
+def _approx(levels, b, k=K, limit=None, strategy="auto", beam=1):
     def run(spark, sf):
         _, q, index, db = _setup(spark, sf, levels)
-        return N.approx_knn(db, q, index, b, k, limit, strategy)
+        return N.approx_knn(db, q, index, b, k, limit, strategy, beam)
 
     return run
 
 
-QUERIES |= {"approx_knn_shuffle": _approx(1, WIDE_B, strategy="shuffle"), "approx_knn_b1": _approx(2, 1), "approx_knn_b3": _approx(2, B), "approx_knn_l3": _approx(3, B), "approx_knn_limit1000": _approx(2, B, K, 1000), "approx_knn_wide": _approx(1, WIDE_B)}
+QUERIES |= {"approx_knn_deep": _approx(2, WIDE_B, beam=BEAM), "approx_knn_shuffle": _approx(1, WIDE_B, strategy="shuffle"), "approx_knn_b1": _approx(2, 1), "approx_knn_b3": _approx(2, B), "approx_knn_l3": _approx(3, B), "approx_knn_limit1000": _approx(2, B, K, 1000), "approx_knn_wide": _approx(1, WIDE_B)}
 
 
 @query
 def approx_recall(spark, sf):
     """Recall of the flat index at several b."""
     v, q, index, db = _setup(spark, sf)
-    exact = N.exact_knn(v, q, K)
-    out = None
+    exact, out = stored(N.exact_knn(v, q, K), "exact"), None
     for b in (1, 3, 10, WIDE_B, C):
         one = N.recall(N.approx_knn(db, q, index, b, K), exact).withColumn("b", F.lit(b))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query
+def deep_recall(spark, sf):
+    """Recall of the deep tree by nodes followed per level."""
+    v, q, index, db = _setup(spark, sf, 2)
+    exact, out = stored(N.exact_knn(v, q, K), "exact"), None
+    for beam in (1, 3, BEAM):
+        one = N.recall(N.approx_knn(db, q, index, WIDE_B, K, beam=beam), exact).withColumn("beam", F.lit(beam))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def batched_knn(spark, sf):
     _, q, index, db = _setup(spark, sf, 1, COARSE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from vecgrove.plans.queries import COARSE, COARSE_B, QUERY_STEP, STUDY, STUDY_OF, TREE_A, WIDE_B, B, C, K
+from vecgrove.plans.queries import BEAM, COARSE, COARSE_B, QUERY_STEP, STUDY, STUDY_OF, TREE_A, WIDE_B, B, C, K
 
 V = """v AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS image_id,
   list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 127) AS INTEGER)) AS vec FROM embeddings)"""
@@ -31,14 +31,14 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def descent(name: str, points: str, levels: int, n: int) -> list[str]:
+def descent(name: str, points: str, levels: int, n: int, beam: int = 1) -> list[str]:
     """CTEs that end in ``name``: columns of ``points(id, vec)``, rank, cluster_id, cluster_dist."""
     out, at = [], f"(SELECT id, vec, CAST(-1 AS BIGINT) AS node FROM {points})"
     for level in range(1, levels + 1):
-        near = f"""(SELECT p.id, p.vec, e.child, {l2("p.vec", "l.vec")} AS d FROM {at} p
+        near = f"""(SELECT {"DISTINCT" if beam > 1 else ""} p.id, p.vec, e.child, {l2("p.vec", "l.vec")} AS d FROM {at} p
   JOIN e{level} e ON e.parent = p.node JOIN leaders l ON l.leader_id = e.child)"""
         step = f"{name}_{level}"
-        picked = best(near, "id", "d, child", n if level == levels else 1)
+        picked = best(near, "id", "d, child", n if level == levels else beam)
         if level == levels:
             out.append(f"{name} AS (SELECT id, vec, rank, child AS cluster_id, d AS cluster_dist FROM ({picked}))")
         else:
@@ -67,19 +67,19 @@ def exact(k: int) -> str:
     return with_(V, Q, EXACT_PAIRS) + f"SELECT qid, rank, id, dist FROM ({best('pairs', 'qid', 'dist, id', k)})"
 
 
-def setup(levels: int, b: int, c: int = C) -> list[str]:
+def setup(levels: int, b: int, c: int = C, beam: int = 1) -> list[str]:
     """CTEs v, q, leaders, edges, db(cluster_id, ...), visit(cluster_id, qid, ...)."""
     return [
         V, Q, leaders_of(c), *tree(levels, c), *descent("a", "v", levels, 1),
         "db AS (SELECT a.cluster_id, a.id, a.vec, v.image_id FROM a JOIN v USING (id))",
-        *descent("s", "(SELECT qid AS id, vec FROM q)", levels, b),
+        *descent("s", "(SELECT qid AS id, vec FROM q)", levels, b, beam),
         "visit AS (SELECT s.cluster_id, s.id AS qid, s.vec, q.query_image FROM s JOIN q ON q.qid = s.id)",
         f"near AS (SELECT visit.qid, visit.query_image, db.cluster_id, db.id, db.image_id, {l2('visit.vec', 'db.vec')} AS dist FROM db JOIN visit USING (cluster_id))",
     ]
 
 
-def approx(levels: int, b: int, k: int = K, c: int = C) -> str:
-    return with_(*setup(levels, b, c)) + f"SELECT qid, rank, id, dist FROM ({best('near', 'qid', 'dist, id', k)})"
+def approx(levels: int, b: int, k: int = K, c: int = C, beam: int = 1) -> str:
+    return with_(*setup(levels, b, c, beam)) + f"SELECT qid, rank, id, dist FROM ({best('near', 'qid', 'dist, id', k)})"
 
 
 def assigned(levels: int, n: int) -> str:
@@ -135,6 +135,18 @@ def recalls() -> str:
     return with_(*parts) + " UNION ALL ".join(unions)
 
 
+def deep_recalls() -> str:
+    truth = f"truth AS ({best('(SELECT q.qid, v.id, ' + l2('q.vec', 'v.vec') + ' AS dist FROM q, v)', 'qid', 'dist, id', K)})"
+    parts = [*setup(2, 1), truth]
+    unions = []
+    for beam in (1, 3, BEAM):
+        parts += descent(f"s{beam}", "(SELECT qid AS id, vec FROM q)", 2, WIDE_B, beam)
+        parts.append(f"near{beam} AS (SELECT s.id AS qid, db.id, {l2('s.vec', 'db.vec')} AS dist FROM s{beam} s JOIN db USING (cluster_id))")
+        parts.append(f"found{beam} AS ({best(f'near{beam}', 'qid', 'dist, id', K)})")
+        unions.append(f"SELECT CAST({beam} AS INTEGER) AS beam, (SELECT count(*) FROM truth JOIN found{beam} USING (qid, id)) / (SELECT count(*) FROM truth) AS recall")
+    return with_(*parts) + " UNION ALL ".join(unions)
+
+
 def paths(levels: int) -> str:
     parts, at = [V, Q, LEADERS, *tree(levels)], "(SELECT qid AS id, vec, CAST(-1 AS BIGINT) AS node FROM q)"
     for level in range(1, levels + 1):
@@ -209,6 +221,8 @@ ORACLE_SQL = {
     + f"SELECT qid, rank, id, dist FROM ({best('(SELECT qid, id, dist FROM percl)', 'qid', 'dist, id', 1000)})",
     "approx_knn_wide": approx(1, WIDE_B),
     "approx_recall": recalls(),
+    "approx_knn_deep": approx(2, WIDE_B, beam=BEAM),
+    "deep_recall": deep_recalls(),
     "approx_knn_shuffle": approx(1, WIDE_B),
     "batched_knn": approx(1, COARSE_B, K, COARSE),
     "knn_batches_saved": approx(1, COARSE_B, K, COARSE),
