@@ -114,9 +114,13 @@ def test_one_id_of_many_copies(spark):
     assert [r["id"] for r in N.exact_knn(db, q, 4, dedup=True).orderBy("rank").collect()] == [7, 20, 21, 22]
 
 
-def test_sample_of_leaders(spark):
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_sample_of_leaders(spark, monkeypatch, few):
     import hashlib
 
+    import vecgrove.operators.tree as tree
+
+    monkeypatch.setattr(tree, "FEW", few)
     v = spark.range(3000).selectExpr("id", "array(int(id)) AS vec")
     for n in (1, 40, 900, 2999, 5000):
         got = [(r["leader_id"], r["id"]) for r in sample_leaders(v, n).orderBy("leader_id").collect()]

@@ -31,6 +31,8 @@ from vecgrove.operators.topk import top
 from vecgrove.sources.shared import numbered, stored
 
 MAX_INDEX_BYTES = 512 << 20
+#: Leaders that one task may number.
+FEW = 1 << 14
 #: Children of a node that are compared at once.
 _KIDS = 1 << 15
 
@@ -47,9 +49,13 @@ class Index:
 def sample_leaders(vectors: DataFrame, n: int) -> DataFrame:
     """n rows of ``vectors(id, vec)`` in the order of md5(id), numbered from 0; without replacement.
 
-    A cut on the hash leaves little over n rows before they are ordered.
+    Up to ``FEW`` come by a top-n and are numbered in one task. Of more, a cut on the hash leaves little
+    over n rows before they are ordered, and they are numbered by ranges.
     """
     rows = vectors.select("id", "vec").withColumn("_md5", F.md5(F.col("id").cast("string")))
+    if n <= FEW:
+        number = F.row_number().over(W.orderBy("_md5", "id")) - 1
+        return rows.orderBy("_md5", "id").limit(n).select(number.cast("bigint").alias("leader_id"), "id", "vec")
     total = vectors.count()
     if total > 4 * n:
         share = 1.25 * n / total + 100 / total
