@@ -41,6 +41,19 @@ def test_query_against_sql(spark, sf, con, name):
     assert sorted(tuple(norm(r[c]) for c in columns) for r in rows) == sorted(tuple(norm(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_members_of_a_large_cluster_in_one_row(spark, tmp_path):
+    """More than 4096 points in a cluster, beside small ones; ids not in the order of their text."""
+    far = "array(float((id % 23) / 25), float((id % 7) / 9), float((id % 3) / 4))"
+    rows = spark.range(10500).selectExpr("id AS vec_id", f"if(id < 9000, array(float(0.5), float(0.5), float(0)), {far}) AS embedding", "int(id % 10) AS label")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in registry.QUERIES["cluster_members_sorted"](spark, str(tmp_path)).select("cluster_id", "ids").collect()}
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.sql(registry.ORACLE_SQL["cluster_members_sorted"]).select("cluster_id, ids").fetchall()
+    assert max(ids.count(",") for _, ids in want) > 2 * 4096 and len(want) > 1
+    assert got == set(want)
+
+
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "exact_knn" in entry.queries()

@@ -40,5 +40,16 @@ def grouped(db: DataFrame, piece: int = 4096) -> DataFrame:
     return dealt.groupBy("cluster_id", "piece").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("points"))
 
 
+def members(db: DataFrame) -> DataFrame:
+    """cluster_id, ids: all ids of a cluster in order, comma-joined, in one row.
+
+    Ranges of clusters and ids are joined to texts first, so that of a large cluster only these meet in one task.
+    """
+    ranged = db.select("cluster_id", "id").repartitionByRange("cluster_id", "id").withColumn("_part", F.spark_partition_id())
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")
+    pieces = ranged.groupBy("cluster_id", "_part").agg(F.struct(F.min("id").alias("first"), texts.alias("ids")).alias("piece"))
+    return pieces.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"]), ",").alias("ids"))
+
+
 def ungrouped(db: DataFrame) -> DataFrame:
     return db.select("cluster_id", F.inline("points"))
