@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from vecgrove.operators import assign as A
 from vecgrove.operators import knn as N
 from vecgrove.operators import topk as T
-from vecgrove.operators.tree import build_tree, descend, descend_joins, sample_leaders
+from vecgrove.operators.tree import build_tree, cluster_paths, descend, descend_joins, sample_leaders
 from vecgrove.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,6 +54,22 @@ def test_members_of_a_large_cluster_in_one_row(spark, tmp_path):
     assert got == set(want)
 
 
+def test_scores_are_rounded_as_sql_does(spark):
+    """Scores halfway between two texts, which go to the even digit, and random ones."""
+    from vecgrove.functions.vectors import score_text, selection_score
+
+    pairs = [(63, 64), (61, 64), (59, 64), (23091, 34368), (0, 5), (7, 7), (1, 10**12), (753087, 1_000_000), (999_999, 1_000_000)]
+    pairs += [(x, 1 << 17) for x in range((1 << 17) - 5000, 1 << 17)]
+    pairs += [(int(d * s), int(d)) for d, s in zip(*np.random.default_rng(5).random((2, 5000)) * [[90000], [1]] + [[1], [0]], strict=True)]
+    rows = spark.createDataFrame(pairs, "best bigint, dist bigint")
+    got = rows.select("best", "dist", score_text(selection_score(F.col("dist"), F.col("best"))).alias("text")).collect()
+    wrong = [(r, f"{0.5 - r.best / (2 * r.dist):.6f}") for r in got if r.text != f"{0.5 - r.best / (2 * r.dist):.6f}"]
+    assert not wrong
+    leaders = spark.createDataFrame([(0, [7, 3, 2, 1]), (1, [8, 0, 0, 0])], "leader_id bigint, vec array<int>")
+    point = spark.createDataFrame([(1, [0, 0, 0, 0])], "id bigint, vec array<int>")
+    assert cluster_paths(point, build_tree(leaders, 1), 2).first()["path"] == "|0:0.000000,1:0.007812"
+
+
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "exact_knn" in entry.queries()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecgrove.functions.vectors import l2_squared, selection_score
+from vecgrove.functions.vectors import l2_squared, score_text, selection_score
 from vecgrove.operators.topk import top
 from vecgrove.sources.shared import numbered, stored
 
@@ -234,7 +234,7 @@ def cluster_paths(points: DataFrame, index: Index, b: int) -> DataFrame:
         near = top(near, ("id",), ("dist", "_child"), b if last else 3)
         best = F.first("dist").over(W.partitionBy("id").orderBy("rank"))
         value = selection_score(F.col("dist"), best)
-        score = F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%.6f", value))
+        score = F.when(value.isNull(), F.lit("nan")).otherwise(score_text(value))
         item = F.concat(F.col("_child").cast("string"), F.lit(":"), score) if last else F.col("_child").cast("string")
         lists = (
             near.withColumn("item", item)
