@@ -23,6 +23,30 @@ def test_raw_descriptors(spark, tmp_path):
     assert got == {"7_0": (7, x[:128].tolist()), "7_1": (7, x[128:].tolist())}
 
 
+@pytest.mark.parametrize("whole", [1 << 20, 640, 64])
+def test_raw_descriptors_of_large_files(spark, tmp_path, monkeypatch, whole):
+    """Files written in ranges and read in splits, beside ones read whole: no image's vectors gather in one row."""
+    monkeypatch.setattr(V, "WHOLE", whole)
+    monkeypatch.setattr(V, "_ROWS", 7)
+    x = np.random.default_rng(3).integers(-128, 128, (400, 16))
+    image = [5 if i < 300 else -3 if i < 395 else 6 for i in range(400)]
+    v = spark.createDataFrame([((i * 77) % 1000, image[i], x[i].tolist()) for i in range(400)], "id bigint, image_id bigint, vec array<int>")
+    V.write_raw_descriptors(v.repartition(3), str(tmp_path / "raw"))
+    want = {}
+    for n in set(image):
+        own = sorted(((i * 77) % 1000, i) for i in range(400) if image[i] == n)
+        assert (tmp_path / "raw" / f"{n}.sift").read_bytes() == b"".join(x[i].astype(np.int8).tobytes() for _, i in own)
+        want |= {f"{n}_{k}": (n, x[i].tolist()) for k, (_, i) in enumerate(own)}
+    (tmp_path / "raw" / "8.sift").write_bytes(b"x" * 1001)
+    got = [(r["key"], (r["id"], list(r["vec"]))) for r in V.raw_descriptors(spark, str(tmp_path / "raw"), 16).collect()]
+    assert len(got) == 400 and dict(got) == want
+    (tmp_path / "raw").rename(tmp_path / "a,[b]")
+    again = V.raw_descriptors(spark, str(tmp_path / "a,\\[b\\]"), 16)
+    assert {r["key"]: (r["id"], list(r["vec"])) for r in again.collect()} == want
+    with pytest.raises(Exception, match="without a value"):
+        V.write_raw_descriptors(v.selectExpr("id", "image_id", "array(1, null) AS vec"), str(tmp_path / "null"))
+
+
 def test_ground_truth(spark, tmp_path):
     (tmp_path / "g.txt").write_text("1:0:55:9\n1000 : 1000\n2:1:66\nbad\n")
     assert sorted(map(tuple, V.ground_truth(spark, str(tmp_path / "g.txt")).collect())) == [(1, 55), (2, 66)]

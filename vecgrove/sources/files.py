@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 
@@ -23,12 +25,19 @@ def make_folder(spark: SparkSession, path: str) -> None:
 
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
-    """Written beside its place and moved there, so that nobody reads half a file."""
+    write_pieces(spark, path, [content])
+
+
+def write_pieces(spark: SparkSession, path: str, pieces: Iterable[bytes]) -> None:
+    """Pieces one after the other, written beside their place and moved there, so that nobody reads half a file."""
     store, p = _at(spark, path)
     part = p.suffix(".part")
     out = store.create(part, True)
-    out.write(bytearray(content))
-    out.close()
+    try:
+        for piece in pieces:
+            out.write(bytearray(piece))
+    finally:
+        out.close()
     if store.exists(p):
         store.delete(p, False)
     if not store.rename(part, p):
