@@ -101,6 +101,37 @@ def test_queries_in_several_parts(spark, monkeypatch):
     assert {tuple(r) for r in N.exact_knn_columns(db, qs.withColumnRenamed("id", "qid"), 4).collect()} == brute_knn(x, q, 4)
 
 
+def test_knn_by_columns_ranks_few_pairs(spark, monkeypatch):
+    """Of all pairs only those within a bound are ranked, and no neighbour is lost."""
+    x, db = random_vectors(spark, 3000, 8, 21, -100, 100)
+    q, qs = random_vectors(spark, 60, 8, 22, -100, 100)
+    ranked = []
+    monkeypatch.setattr(N, "top_k", lambda df, k, f=N.top_k: ranked.append(df.count()) or f(df, k))
+    got = {tuple(r) for r in N.exact_knn_columns(db, qs.withColumnRenamed("id", "qid"), 4).collect()}
+    assert got == brute_knn(x, q, 4)
+    assert len(got) <= sum(ranked) < 3000 * 60 / 20
+
+
+@pytest.mark.parametrize(("low", "high", "d"), [(-128, 128, 5), (-2, 2, 4), (-30000, 30000, 3), (-(10**9), 10**9, 2), (0, 1, 3), (5, 6, 1)])
+def test_knn_by_columns_of_any_values(spark, low, high, d):
+    """Small values in columns, odd lengths, large ones as arrays; many ties, more neighbours asked than there are."""
+    x, db = random_vectors(spark, 700, d, 23, low, high)
+    q, qs = random_vectors(spark, 9, d, 24, low, high)
+    for k in (1, 6, 900):
+        assert {tuple(r) for r in N.exact_knn_columns(db, qs.withColumnRenamed("id", "qid"), k).collect()} == brute_knn(x, q, k)
+
+
+def test_knn_by_columns_of_odd_rows(spark):
+    """Vectors of another length, without values or null match nothing; empty tables."""
+    x, db = random_vectors(spark, 50, 3, 25)
+    q, qs = random_vectors(spark, 5, 3, 26)
+    qs = qs.withColumnRenamed("id", "qid")
+    odd = spark.sql("SELECT id, vec FROM VALUES (900L, array(1, 2)), (901L, null), (902L, array(1, null, 2)), (903L, array()) AS t(id, vec)")
+    more = qs.unionByName(odd.withColumnRenamed("id", "qid").where("qid <> 900 AND qid <> 903"))
+    assert {tuple(r) for r in N.exact_knn_columns(db.unionByName(odd), more, 4).collect()} == brute_knn(x, q, 4)
+    assert N.exact_knn_columns(db.limit(0), qs, 3).count() == N.exact_knn_columns(db, qs.limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize(("points", "visits", "kept"), [(1 << 16, 1 << 13, 2_000_000), (20, 7, 2_000_000), (20, 7, 15)])
 def test_strategies_agree(spark, monkeypatch, points, visits, kept):
     """Both sides dealt in pieces of any size, lists handed on early: the same rows as with the queries sent."""

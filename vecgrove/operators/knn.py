@@ -10,12 +10,16 @@ per query and task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vecgrove.functions.vectors import l2_guarded
 from vecgrove.operators.topk import top, top_k
@@ -28,6 +32,8 @@ MAX_QUERY_BYTES = 128 << 20
 MAX_KEPT = 2_000_000
 #: Points, and visits, of a cluster that one task compares.
 POINTS, VISITS = 1 << 16, 1 << 13
+#: By columns: pairs that one task compares, points at least by which distances are bounded, and the longest vectors.
+PAIRS, BOUND_BY, MAX_COLUMNS = 20_000_000, 256, 1024
 #: Distances that are computed at once.
 _CHUNK = 2_000_000
 _PART = "qid bigint, cluster_id bigint, id bigint, tie bigint, dist bigint"
@@ -189,19 +195,100 @@ def exact_knn(db: DataFrame, queries: DataFrame, k: int, dedup: bool = False, st
 
 
 def exact_knn_columns(db: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The rows of ``exact_knn`` by expressions only: all points against blocks of the queries, each sent to all executors."""
+    """The rows of ``exact_knn`` by expressions only: all points against blocks of the queries, each sent to all executors.
+
+    Values become columns, two in one (``_Columns``), so that generated code computes a distance. The distance of a query's
+    k-th neighbour among some of the points bounds that among all: of all pairs only those within it are ranked.
+    """
     asked = stored(queries.select("qid", F.col("vec").alias("q")), "queries")
-    n, d = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    blocks = max(1, -(-n * (8 * d + 64) // MAX_QUERY_BYTES))
-    points, out = db.select("id", F.col("vec").alias("v")), None
+    points = db.select("id", F.col("vec").alias("v"))
+    n, d, *of_queries = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0)), *_shape("q")).first()
+    total, *of_points = points.agg(F.count(F.lit(1)), *_shape("v")).first()
+    whole = all(isinstance(rows.schema[c].dataType.elementType, IntegralType) for rows, c in ((asked, "q"), (points, "v")))
+    form = (_Columns.of(of_queries, of_points) if whole else None) or _Arrays()
+    some = max(BOUND_BY, int(8 * (k * total) ** 0.5), 8 * k)  # balances pairs compared twice with pairs ranked
+    share = max(1, total // some)
+    # by id, as parts of a file may be few; and codes of packing and of comparing are generated apart
+    dealt = form.points(points).repartition(min(4096, 1 + n * total // PAIRS), "id")
+    few = form.points(points.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0)).repartition(min(4096, 1 + n * total // share // PAIRS), "id")
+    blocks, out = max(1, -(-n * (8 * d + 64) // MAX_QUERY_BYTES)), None
     for i in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        scored = points.join(F.broadcast(block), F.lit(True)).withColumn("dist", l2_guarded(F.col("v"), F.col("q"))).where("dist IS NOT NULL")
-        part = top_k(scored, k).select("qid", "rank", "id", "dist")
+        first = few.join(F.broadcast(form.queries(block)), F.lit(True)).select("qid", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4 * k)).alias("part"), form.dist().alias("dist"))
+        least = first.where("dist IS NOT NULL").groupBy("qid", "part").agg(F.min("dist").alias("dist"))
+        bound = least.groupBy("qid").agg(F.get(F.array_sort(F.collect_list("dist")), F.lit(k - 1)).alias("bound"))  # null: fewer than k parts
+        within = stored(block.join(bound, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(2**63 - 1))), "bounds")
+        near = dealt.join(F.broadcast(form.queries(within, "bound")), form.dist() <= F.col("bound"))
+        part = top_k(near.select("qid", "id", form.dist().cast("bigint").alias("dist")), k).select("qid", "rank", "id", "dist")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _shape(vec: str) -> list[Column]:
+    """Least and largest length, largest squared norm and number of vectors that lack a value."""
+    lacking = F.col(vec).isNull() | F.exists(vec, lambda x: x.isNull())
+    return [F.min(F.size(vec)), F.max(F.size(vec)), F.max(_norm(vec)), F.count_if(lacking)]
+
+
+def _norm(vec: str) -> Column:
+    return F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
+class _Arrays:
+    """Points and queries as arrays, for vectors that ``_Columns`` does not hold."""
+
+    def points(self, points: DataFrame) -> DataFrame:
+        return points
+
+    def queries(self, queries: DataFrame, *more: str) -> DataFrame:
+        return queries.select("qid", "q", *more)
+
+    def dist(self) -> Column:
+        return l2_guarded(F.col("v"), F.col("q"))
+
+
+class _Columns:
+    """Vectors of one length as columns of doubles, each of two values.
+
+    With a = a0 + a1 w of the point and b = b1 + b0 w of the query, a b = a0 b1 + (a0 b0 + a1 b1) w + a1 b0 w^2. Summed
+    over the columns each of the three parts is at most the product of the norms, as is the scalar product in the
+    middle; w is over twice that, and while the whole stays below 2^53 all of it is exact.
+    """
+
+    def __init__(self, dims: int, width: int):
+        self.n, self.w = -(-dims // 2), float(1 << width)
+
+    @staticmethod
+    def of(a: list, b: list) -> _Columns | None:
+        """For two ``_shape``s; None where lengths differ, values lack or are too large."""
+        if None in (*a, *b) or a[3] or b[3] or len({*a[:2], *b[:2]}) != 1 or not 0 < a[0] <= MAX_COLUMNS:
+            return None
+        if max(a[2], b[2]) >= 1 << 50:
+            return None
+        width = (math.isqrt(int(a[2]) * int(b[2])) + 1).bit_length() + 1
+        return _Columns(a[0], width) if 3 * width <= 52 else None
+
+    def _packed(self, rows: DataFrame, vec: str, name: str, swap: bool, *keep: str) -> DataFrame:
+        def value(i: int) -> Column:
+            return F.coalesce(F.get(vec, F.lit(i)).cast("double"), F.lit(0.0))  # none lacks but the last of an odd number
+
+        pairs = [(value(2 * i + swap), value(2 * i + 1 - swap)) for i in range(self.n)]
+        norm = F.coalesce(_norm(vec), F.lit(0.0)).alias(f"{name}_norm")
+        return rows.select(*keep, norm, *[(one + two * self.w).alias(f"{name}{i}") for i, (one, two) in enumerate(pairs)])
+
+    def points(self, points: DataFrame) -> DataFrame:
+        return self._packed(points, "v", "v", False, "id")
+
+    def queries(self, queries: DataFrame, *more: str) -> DataFrame:
+        return self._packed(queries, "q", "q", True, "qid", *more)
+
+    def dist(self) -> Column:
+        total = reduce(add, [F.col(f"v{i}") * F.col(f"q{i}") for i in range(self.n)])
+        upper = F.rint(total * (1 / self.w))
+        product = upper - F.rint(upper * (1 / self.w)) * self.w
+        return F.col("v_norm") + F.col("q_norm") - product * 2.0
+
+
 def visits(queries: DataFrame, index: Index, b: int, beam: int = 1) -> DataFrame:
     """cluster_id, qid, vec, rank: the clusters that each query visits, b at most, from ``beam`` buckets."""
     return descend(queries.select("qid", "vec"), index.leaders, index.edges, index.levels, b, beam).select("cluster_id", "qid", "vec", "rank")
