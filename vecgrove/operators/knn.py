@@ -256,7 +256,7 @@ class _Columns:
     """
 
     def __init__(self, dims: int, width: int):
-        self.n, self.w = -(-dims // 2), float(1 << width)
+        self.n, self.width, self.w = -(-dims // 2), width, float(1 << width)
 
     @staticmethod
     def of(a: list, b: list) -> _Columns | None:
@@ -284,9 +284,9 @@ class _Columns:
 
     def dist(self) -> Column:
         total = reduce(add, [F.col(f"v{i}") * F.col(f"q{i}") for i in range(self.n)])
-        upper = F.rint(total * (1 / self.w))
-        product = upper - F.rint(upper * (1 / self.w)) * self.w
-        return F.col("v_norm") + F.col("q_norm") - product * 2.0
+        upper = F.shiftright((total + self.w / 2).cast("bigint"), self.width)  # each used once, as code repeats what is used twice
+        product = F.shiftright(F.shiftleft(upper, 64 - self.width), 64 - self.width)  # its low bits, with their sign
+        return F.col("v_norm") + F.col("q_norm") - product.cast("double") * 2.0
 
 
 def visits(queries: DataFrame, index: Index, b: int, beam: int = 1) -> DataFrame:
